@@ -11,7 +11,7 @@ the fact is a group of its own. Ties are settled by the least (cost, hops, nodes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import degree_weight
@@ -33,7 +33,6 @@ def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | No
         raise ValueError(f"kind must be 'metric' or 'ultrametric', not {kind!r}")
     free = relsim is not None if free_last_hop is None else free_last_hop
     facts = with_ids(candidates)
-    spark = candidates.sparkSession
     sims = relsim.select(F.col("r1").alias("gp"), F.col("r2").alias("p"), F.col("sim")) if relsim is not None else None
     spec = degree_weight(F.col("d"), weight)
     edges = stored(graph.edges.join(graph.degrees(), F.col("o") == F.col("node")).select("s", "p", "o", spec.alias("spec")), "weighted")
@@ -45,6 +44,12 @@ def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | No
     facts = stored(facts, "facts")
     groups = facts.select("g", F.col("sid").alias("gs"), F.col("pid").alias("gp"), "gone").distinct()
     targets = facts.where("sid <> oid").select("g", "oid")
+    # fare: what the last edge of any path costs at least; it tightens the bound below.
+    if sims is None and not free and kind == "metric":
+        spec_of = edges.groupBy(F.col("o").alias("oid")).agg(F.max("spec").alias("spec"))
+        targets = targets.join(spec_of, "oid", "left").select("g", "oid", F.coalesce(1.0 / F.col("spec") - 1.0, F.lit(0.0)).alias("fare"))
+    else:
+        targets = targets.withColumn("fare", F.lit(0.0))
 
     def cost(w):
         """Additive for the metric kind; for the ultrametric kind the largest cost of a path is what counts."""
@@ -60,29 +65,32 @@ def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | No
         with_sim = rows.join(sims, ["gp", "p"]).where(~F.isnan("sim") & (F.col("sim") > 0))
         return with_sim.withColumn("w", F.col("sim") * F.col("spec")).withColumn("wl", F.col("sim") if free else F.col("sim") * F.col("spec"))
 
-    start = groups.select("g", F.col("gs").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array(F.col("gs")).alias("path"), F.array(F.lit(-1)).alias("rpath"), F.array().cast("array<double>").alias("weights"))
-    label = ["cost", "hops", "path", "rpath", "weights"]
-    settled, frontier, best, hop = stored(start, "settled"), start, None, 0
+    # One row a group and node: its best label within, as an end of a fact, and the hop that last improved the former.
+    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("gs").alias("path"), F.array(F.lit(-1)).alias("rpath"), F.array().cast("array<double>").alias("weights"))
+    state = groups.select("g", F.col("gs").alias("node"), label.alias("lab"), F.when(F.lit(False), label).alias("last"), F.lit(0).alias("hop"))
+    hop, frontier = 0, state.select("g", "node", "lab")
     while True:
-        reach = weighed(frontier.join(groups, "g").join(edges, F.col("node") == F.col("s")).where(F.col("gone").isNull() | ~((F.col("s") == F.col("gs")) & (F.col("p") == F.col("gp")) & (F.col("o") == F.col("gone")))))
-        reach = reach.where((F.col("w") > 0) & ~F.array_contains("path", F.col("o")))
-        reach = stored(reach.select("g", "o", (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("o")).alias("path"), F.concat("rpath", F.array("p")).alias("rpath"), "weights", "w", "wl", joined(F.col("cost"), cost(F.col("w"))).alias("cost"), joined(F.col("cost"), cost(F.col("wl"))).alias("last")), "reach")
-        ends = reach.join(targets, (reach.g == targets.g) & (reach.o == targets.oid)).select(targets.g, "oid", F.struct(F.col("last").alias("cost"), "hops", "path", "rpath", F.concat("weights", F.array("wl")).alias("weights")).alias("l"))
-        best = ends if best is None else best.unionByName(ends)
-        best = stored(best.groupBy("g", "oid").agg(F.min("l").alias("l")), "best")
         hop += 1
+        reach = frontier.join(groups, "g").join(edges, F.col("node") == F.col("s")).where(F.col("gone").isNull() | ~((F.col("s") == F.col("gs")) & (F.col("p") == F.col("gp")) & (F.col("o") == F.col("gone"))))
+        reach = weighed(reach).where((F.col("w") > 0) & ~F.array_contains("lab.path", F.col("o")))
+
+        def label_by(w: str) -> Column:
+            return F.struct(joined(F.col("lab.cost"), cost(F.col(w))).alias("cost"), (F.col("lab.hops") + 1).alias("hops"), F.concat("lab.path", F.array("o")).alias("path"), F.concat("lab.rpath", F.array("p")).alias("rpath"), F.concat("lab.weights", F.array(w)).alias("weights"))
+
+        new = reach.groupBy("g", F.col("o").alias("node")).agg(F.min(label_by("w")).alias("lab"), F.min(label_by("wl")).alias("last"))
+        every = state.select("g", "node", F.col("lab").alias("old"), "hop", "last", F.when(F.lit(False), F.col("lab")).alias("new")).unionByName(new.select("g", "node", F.when(F.lit(False), F.col("lab")).alias("old"), F.lit(None).cast("int").alias("hop"), "last", F.col("lab").alias("new")))
+        every = every.groupBy("g", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"), F.min("last").alias("last"), F.max("hop").alias("hop"))
+        better = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))
+        state = stored(every.select("g", "node", F.least("old", "new").alias("lab"), "last", F.when(better, F.lit(hop)).otherwise(F.col("hop")).alias("hop")), "labels")
         if max_hops is not None and hop >= max_hops:
             break
         # A group's bound: its worst target; without a path to some target there is none.
-        bound = targets.join(best, ["g", "oid"], "left").groupBy("g").agg(F.max(F.coalesce("l.cost", F.lit(_BIG))).alias("bound"))
-        label_of = F.struct(*[F.col(c) for c in label[:4]], F.concat("weights", F.array("w")).alias("weights"))
-        step = reach.groupBy("g", F.col("o").alias("node")).agg(F.min(label_of).alias("l")).join(bound, "g").where(F.col("l.cost") <= F.col("bound"))
-        old = settled.select("g", "node", F.struct(*[F.col(c) for c in label]).alias("known"))
-        better = step.join(old, ["g", "node"], "left").where(F.col("known").isNull() | (F.col("l") < F.col("known"))).select("g", "node", *[F.col(f"l.{c}").alias(c) for c in label])
-        frontier = stored(better, "frontier")
+        goals = targets.join(state.select("g", F.col("node").alias("oid"), "last"), ["g", "oid"], "left")
+        bound = goals.groupBy("g").agg(F.max(F.coalesce(F.col("last.cost") - F.col("fare") + 1e-9, F.lit(_BIG))).alias("bound"))
+        frontier = state.where(F.col("hop") == hop).join(bound, "g").where(F.col("lab.cost") <= F.col("bound")).select("g", "node", "lab")
         if frontier.isEmpty():
             break
-        settled = stored(settled.join(frontier, ["g", "node"], "left_anti").unionByName(frontier), "settled")
+    best = state.select("g", F.col("node").alias("oid"), F.col("last").alias("l"))
     found = facts.join(best, ["g", "oid"], "left")
     same = F.col("sid") == F.col("oid")
     score = F.when(same, F.lit(1.0)).when(F.col("l").isNull(), F.lit(0.0)).otherwise(1.0 / (1.0 + F.col("l.cost")))
