@@ -1,0 +1,472 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and
+extra columns whose names clash with those used inside."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from arcwise.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pii, sharding, url_filter, warc
+
+ODD = [(1, "a b\nc"), (2, None), (3, ""), (4, "a b\nc"), (4, "a b\nc"), (5, "x " * 30_000), (None, "a b\nc"), (6, "\n\n"), (7, "é​ 日本")]
+
+
+def docs(spark, rows, extra=True):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    if extra:
+        for name in ("digest", "key", "id", "row", "pos", "size", "seed", "root", "n", "_aw_row", "toks", "head"):
+            df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def words(rnd, n, vocabulary=400):
+    return [f"w{rnd.randrange(vocabulary)}" for _ in range(n)]
+
+
+# 1
+
+
+@pytest.mark.parametrize("bytes_kept", [32, 1])
+def test_exact_dedup(spark, bytes_kept):
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice(["", None, "a", "b", "c"]) if i % 3 else f"t{rnd.randrange(600)}") for i in range(900)] + [(None, "a"), (3, "a"), (3, "a")]
+    got = exact_dedup.exact_dedup(docs(spark, rows).repartition(5), "max", bytes_kept, memtable_rows=64, filter_bits=1 << 10).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    want = [(i, max(x for x in groups[t or ""] if x is not None), len(groups[t or ""]), i == max(x for x in groups[t or ""] if x is not None), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_exact_dedup_odd(spark):
+    assert exact_dedup.exact_dedup(docs(spark, []), "min").count() == 0
+    got = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_dedup(docs(spark, ODD), "min").collect()}
+    a = hashlib.sha256(b"a b\nc").hexdigest()
+    assert got[None, a].keep_id == 1 and got[None, a].group_size == 4 and not got[None, a].kept
+    assert got[2, hashlib.sha256(b"").hexdigest()].group_size == 2
+
+
+def test_dedup_index_over_batches(spark):
+    index = exact_dedup.DedupIndex("min")
+    assert index.add(docs(spark, [(1, "a"), (2, "b")])).where("kept").count() == 2
+    got = {r.doc_id: r.keep_id for r in index.add(docs(spark, [(3, "a"), (4, "c")])).collect()}
+    assert got == {3: 1, 4: 4}
+
+
+# 2
+
+
+def tongue(rnd, kind, n):
+    parts = {"aa": ["ba", "lo", "mi"], "bb": ["xer", "quu", "zed"]}[kind]
+    return " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+
+
+def test_language_id(spark):
+    rnd = random.Random(2)
+    rows = [(i, tongue(rnd, k, 20), k) for i, k in enumerate(["aa", "bb"] * 40)] + [(900, None, "aa"), (901, "12 !?", "bb"), (902, "", None), (903, tongue(rnd, "aa", 60) + " " + tongue(rnd, "bb", 40), None), (None, "balo", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("c0", F.lit(1)).withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r for r in language_id.language_id(df).collect()}
+    assert len(got) == len(rows)
+    held = [i for i, r in got.items() if r.held_out and i is not None and i < 900]
+    import zlib
+
+    assert sorted(held) == [i for i, _, _ in rows[:80] if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i].lang_pred == ("aa", "bb")[i % 2] for i in range(80))
+    assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und" and got[900].score == 0
+    assert [x.lang for x in got[903].languages] == ["aa", "bb"] and 0.5 < got[903].score < 0.75
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    assert language_id.language_id(df.limit(0)).count() == 0
+    assert {r.lang_pred for r in language_id.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_trigrams_stay_with_their_documents():
+    gram, owner = language_id.trigrams(["ab", None, "", "İx y"])
+    alone = [language_id.trigrams([t])[0].tolist() for t in ("ab", "İx y")]
+    assert gram[owner == 0].tolist() == alone[0] and gram[owner == 3].tolist() == alone[1]
+    assert set(owner.tolist()) == {0, 3}
+
+
+# 3
+
+
+def brute_shards(rows, shards=8, tolerance=64):
+    keyed = sorted((hashlib.md5((t or "").encode()).hexdigest(), -(1 << 63) if i is None else i, len((t or "").encode()) + 1, i) for i, t in rows)
+    total, group = sum(k[2] for k in keyed), collections.Counter()
+    for k in keyed:
+        group[k[0]] += k[2]
+    out, at, last = [], 0, {}
+    for k in keyed:
+        at += k[2]
+        last[k[0]] = at
+    at = 0
+    for k in keyed:
+        at += k[2]
+        end = last[k[0]] if group[k[0]] * shards * tolerance <= total else at
+        out.append((k[3], k[2], min(shards - 1, (end - 1) * shards // total)))
+    return out
+
+
+def test_sharding(spark):
+    rnd = random.Random(3)
+    rows = [(i, "hot" * 5 if i % 3 == 0 else "t" * rnd.randrange(200) + str(rnd.randrange(500))) for i in range(3000)]
+    got = sharding.sampled_shards(docs(spark, rows), ranges=64).collect()
+    assert sorted((r.doc_id, r.size, r.shard) for r in got) == sorted(brute_shards(rows))
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append((r.slot, r.size))
+    assert all(sorted(s for s, _ in x) == list(range(len(x))) for x in by.values())
+    sizes = [sum(n for _, n in x) for x in by.values()]
+    assert max(sizes) - min(sizes) < 0.04 * sum(sizes) / 8
+
+
+def test_sharding_odd(spark):
+    assert sharding.sampled_shards(docs(spark, [])).count() == 0
+    got = sharding.sampled_shards(docs(spark, ODD)).collect()
+    assert sorted((r.doc_id or 0, r.size, r.shard) for r in got) == sorted((i or 0, n, s) for i, n, s in brute_shards(ODD))
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+
+
+# 4
+
+
+def test_bpe_is_what_tiktoken_gives(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.codec(path, public_tokenizers.PATTERN)
+    rnd = random.Random(4)
+    texts = ["", "Hello  world!\n\n it's", "日本語 ​ 🙂é", "a" * 3000, "<|endoftext|>", "\0\x01�", " ▁▁ x"]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0xA0, 0x250), rnd.randrange(0x400, 0x460), rnd.randrange(0x4E00, 0x4F00), 32])) for _ in range(200)) for _ in range(150)]
+    for t in texts:
+        ids = own.encode(t)
+        assert ids == want.encode_ordinary(t)
+        assert own.decode(ids) == t.encode()
+    got = bpe.encode_public(docs(spark, ODD), with_ids=True)
+    back = {(r.doc_id, r.text) for r in bpe.decode(got, path, public_tokenizers.PATTERN).collect()}
+    assert back == {(i, t or "") for i, t in ODD}
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[2].n_tokens == 0 and rows[2].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    assert rows[7].decoded_sha256 == hashlib.sha256(ODD[-1][1].encode()).hexdigest()
+    assert bpe.encode_public(docs(spark, [])).count() == 0
+
+
+def test_bpe_forgets_within_bounds(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    own = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    for t in ("one two three four five", "one six", "two seven eight nine"):
+        assert own.decode(own.encode(t)) == t.encode()
+
+
+# 5
+
+
+def brute_lines(rows, gram=2, window=2):
+    h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    lines = {r: (r[1] or "").split("\n") for r in rows}
+    order = lambda r: (r[0] is not None, r[0])
+    first, picks = {}, []
+    for r in sorted(set(rows), key=order):
+        ls = [h(x) for x in lines[r]]
+        gs = [h(",".join(map(str, ls[i : i + gram]))) for i in range(len(ls) - gram + 1)]
+        chosen = set()
+        for j in range(max(1, len(gs) - window + 1) if gs else 0):
+            chosen.add(min(range(j, min(j + window, len(gs))), key=lambda i: (gs[i], -i)))
+        for i in sorted(chosen):
+            picks.append((r, i, gs[i]))
+            first.setdefault(gs[i], (r, i))
+    cut = collections.defaultdict(set)
+    for r, i, g in picks:
+        fr, fi = first[g]
+        if (fr, fi) == (r, i):
+            continue
+        a, b = 0, 0
+        while a < window - 1 and i - a - 1 >= 0 and fi - a - 1 >= 0 and lines[r][i - a - 1] == lines[fr][fi - a - 1]:
+            a += 1
+        while b < window - 1 and i + gram + b < len(lines[r]) and fi + gram + b < len(lines[fr]) and lines[r][i + gram + b] == lines[fr][fi + gram + b]:
+            b += 1
+        cut[r] |= set(range(i - a, i + gram + b))
+    return {r: None if r[1] is None else "\n".join(x for k, x in enumerate(lines[r]) if k not in cut[r]) for r in rows}
+
+
+@pytest.mark.parametrize(("gram", "window"), [(2, 2), (1, 3), (3, 2)])
+def test_line_dedup(spark, gram, window):
+    rnd = random.Random(5)
+    rows = list({i: (i, "\n".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randrange(0, 14)))) for i in range(80)}.values())
+    rows += [(100, "\n".join(["same"] * 40)), (101, None), (102, "one"), (103, "a\nb\nc\nd\ne"), (103, "a\nb\nc\nd\ne"), (None, "a\nb\nc\nd\ne"), (104, "q\na\nb\nc\nd\ne\nz")]
+    got = line_dedup.line_dedup(docs(spark, rows), gram, window).select("doc_id", "text").collect()
+    want = brute_lines(rows, gram, window)
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((r[0], want[r])) for r in rows)
+
+
+def test_line_dedup_odd(spark):
+    assert line_dedup.line_dedup(docs(spark, [])).count() == 0
+    df = docs(spark, ODD)
+    out = line_dedup.line_dedup(df, counts=True)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"] and out.count() == len(ODD)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[None].text == "a b\nc" and got[1].text == "" and got[1].n_removed == 2 and got[2].text is None
+
+
+# 6
+
+
+def brute_aligned(a, b):
+    """Longest common subsequence by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_alignment_is_exact_at_and_above_the_threshold():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a = [rnd.randrange(30) for _ in range(rnd.randint(1, 60))]
+        b = list(a)
+        for _ in range(rnd.randrange(8)):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randrange(2)] = [rnd.randrange(30)] * rnd.randrange(3)
+        if not b:
+            continue
+        got, want = near_dedup.aligned(np.array(a, np.uint32), np.array(b, np.uint32)), brute_aligned(a, b)
+        assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
+
+
+def brute_classes(rows):
+    seqs = {}
+    for i, t in rows:
+        seqs.setdefault(tuple(near_dedup.words_of(t or "")), []).append(i)
+    keys = list(seqs)
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    grams = {k: list(near_dedup.shingles(list(k))) for k in keys if k}
+    for x, a in enumerate(keys):
+        for b in keys[:x]:
+            if a and b and brute_aligned(grams[a], grams[b]) >= 0.8:
+                root[find(a)] = find(b)
+    least = {}
+    for k in keys:
+        least.setdefault(find(k), []).extend(seqs[k])
+    return sorted((i, min(least[find(k)])) for k in keys for i in seqs[k])
+
+
+def test_near_duplicates(spark):
+    rnd = random.Random(7)
+    rows, n = [], 0
+    for _ in range(6):
+        base = words(rnd, rnd.randint(60, 120))
+        for _ in range(rnd.randint(1, 7)):
+            copy = list(base)
+            for _ in range(rnd.randrange(3)):
+                copy[rnd.randrange(len(copy))] = "zz"
+            rows.append((n, " ".join(copy)))
+            n += 1
+        rows.append((n, " ".join(base[len(base) // 2 :] + base[: len(base) // 2])))
+        n += 1
+    rows += [(n + k, t) for k, t in enumerate([None, "", "a b", "A  b!", "a c", rows[0][1].upper()])]
+    got = near_dedup.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
+    sizes = collections.Counter(r.class_id for r in got)
+    assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
+
+
+def test_near_duplicates_odd(spark):
+    assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
+    got = [(r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs(spark, ODD)).collect()]
+    assert len(got) == len(ODD) and (None, 1, 4) in got and (2, 2, 3) in got and (6, 2, 3) in got
+
+
+def test_components(spark):
+    rnd = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)]
+    got = {r.id: r.root for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+# 7
+
+
+def brute_url(url, rules):
+    m = re.search("://", url or "")
+    rest = url[m.end() :] if m else ""
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fit = [(-len(h + p), -len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = min(fit) if fit else (0, 0, None, "allow")
+    return host, path, best[2], best[3]
+
+
+def test_url_filter(spark):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.net", "/", "allow"), ("a.net", "/x/", "block"), ("net", "/x/y/", "allow")]
+    rnd = random.Random(9)
+    hosts = ["a.net", "b.a.net", "ba.net", "net", "EXAMPLE.net", "w.example.com", "x.org", "org", "xorg", "", "a-b.net", "a.net:80", "É.net"]
+    urls = [f"{rnd.choice(['http', 'x'])}://{rnd.choice(hosts)}{rnd.choice(['', '/', '/en/', '/en/q', '/de/1', '/fr/', '/x/', '/x/y/z', '/fr'])}{rnd.choice(['', '?q=://z/', '#f', '?a#b'])}" for _ in range(600)]
+    urls += [None, "", "no scheme", "://net/", "http://"]
+    pages = spark.createDataFrame([(k, u, "h", "z") for k, u in enumerate(urls)], "page_id long, url string, html string, key string")
+    laws = spark.createDataFrame([*rules, rules[0], (None, "/", "block")], "host string, path string, verdict string")
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, laws).collect())
+    assert got == [(k, *brute_url(u, rules)) for k, u in enumerate(urls)]
+    assert url_filter.url_filter(pages.limit(0), laws).count() == 0
+    assert {r.verdict for r in url_filter.url_filter(pages, laws.limit(0), "block").collect()} == {"block"}
+
+
+# 8
+
+
+def brute_pii(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[ -]", "", m[0])
+        if 13 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+def test_pii_base_spans():
+    rnd = random.Random(10)
+    bits = ["a@b.c", "@", ".", "x", "+1", "1.2.3.4", "300.1.2.3", " ", "-", "4111111111111111", "4111 1111-1111 1111", "(", ")", "7", "é", "@b.c", "a@", "+44 20 7946 0958", "00", "256"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))
+        assert pii.spans(text)[0] == brute_pii(text), text
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("write to john.doe [at] example [dot] com now", "email", "john.doe [at] example [dot] com"),
+        ("john at example dot com", "email", "john at example dot com"),
+        ("mail jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+        ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("jo​hn(at)example(dot)org", "email", "jo​hn(at)example(dot)org"),
+        ("call plus one two one two five five five one two three four ok", "phone", "plus one two one two five five five one two three four"),
+        ("at ١٠.٠.٠.٧ there", "ip", "١٠.٠.٠.٧"),
+    ],
+)
+def test_pii_disguises(text, kind, span):
+    base, every = pii.spans(text)
+    added = [(k, text[a:b].strip()) for k, a, b in every if (k, a, b) not in base]
+    assert (kind, span) in added or (kind == "email" and any(k == kind and s == span for k, s in added))
+
+
+def test_pii_leaves_prose_alone(spark):
+    for text in ("look at example.com and dot the i", "one at a time, two dots", "at noon dot com", "three four five people", "Поговорим о погоде"):
+        assert pii.spans(text) == ([], [])
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, [*ODD, (9, "a@b.co 1.1.1.1"), (10, "9" * 200_000 + "@"), (11, "a" * 200_000 + "@")])).collect()}
+    assert got[9].n_email == 1 and got[9].spans == "email:0:6,ip:7:14" and got[2].spans == ""
+    assert got[9].base_sha256 == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
+    assert pii.find_pii(docs(spark, [])).count() == 0
+    masked = pii.masked(docs(spark, [(1, "a@b.co x"), (2, None)])).orderBy("doc_id").collect()
+    assert [r.text for r in masked] == ["<email> x", None]
+
+
+# 9
+
+
+def test_warc(spark):
+    rows = [(k, f"http://h{k % 7}.net/p/{k}?q#f", None if k % 11 == 0 else f"<p>é{k % 40}</p>\r\n\r\nWARC/1.1") for k in range(300)] + [(900, None, "x"), (None, "http://a.net/", "x"), (901, 'http://a.net/"\r\nX: y', "y"), (901, 'http://a.net/"\r\nX: y', "y")]
+    pages = spark.createDataFrame([(*r, "z", "z") for r in rows], "page_id long, url string, html string, key string, sha string")
+    directory = warc.write_archives(pages)
+    got = warc.read_archives(directory).collect()
+    groups = collections.defaultdict(list)
+    for i, _, h in rows:
+        groups[h or ""].append(i)
+    want = []
+    for i, u, h in rows:
+        keep = max(x for x in groups[h or ""] if x is not None)
+        data = (h or "").encode()
+        want.append((i, u or "", len(data), warc.base32_sha1(data), "response" if i == keep else "revisit", None if i == keep else keep))
+    assert sorted(map(repr, ((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(map(repr, want))
+    assert all(bytes(r.payload) == (b"" if r.record_type == "revisit" else bytes(r.payload)) for r in got)
+    found = warc.lookup(spark, directory, [rows[5][1], "http://none.net/", rows[301][1]])
+    assert [f["page_id"] for f in found] == [5, None]
+    assert {r.record_type for r in warc.read_archives(warc.write_archives(pages, min_bytes=10_000)).collect()} == {"response"}
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_warc_detects_damage():
+    import gzip
+
+    data = gzip.decompress(warc.record_bytes(1, "u", b"body", None, warc.base32_sha1(b"body"), False))
+    assert warc.parse_record(data)["payload"] == b"body"
+    with pytest.raises(ValueError):
+        warc.parse_record(data.replace(b"body", b"bodi"))
+
+
+# 10
+
+
+def brute_overlaps(rows, items, min_tokens=5):
+    toks = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
+    out = set()
+    for d, t in rows:
+        a = toks(t)
+        for k, b in ((k, toks(x)) for k, x in items):
+            if len(b) < min_tokens:
+                continue
+            best = 0
+            for offset in range(-len(b) + 1, len(a)):
+                run = 0
+                for j, w in enumerate(b):
+                    if 0 <= offset + j < len(a):
+                        run = max(0, run + (1 if a[offset + j] == w else -2))
+                        best = max(best, run)
+            if best >= min(12, -(-len(b) * 7 // 10)):
+                out.add((d, k, best))
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontaminate(spark, limit):
+    rnd = random.Random(11)
+    items = [(k, " ".join(words(rnd, n))) for k, n in enumerate([6, 9, 14, 20, 36, 59, 3])] + [(50, None), (51, "")]
+    rows = []
+    for k in range(60):
+        text = words(rnd, rnd.choice([30, 700]))
+        if k % 2:
+            item = rnd.choice(items[:6])[1].split()
+            for _ in range(rnd.randrange(2) if len(item) > 12 else 0):
+                item[rnd.randrange(len(item))] = "sub"
+            at = rnd.randrange(len(text))
+            text[at:at] = item
+        rows.append((k, rnd.choice([" ", ", ", "\n"]).join(text)))
+    rows += [(100, None), (101, ""), (102, items[5][1].upper()), (103, "w1 " * 5000 + items[4][1])]
+    bench = spark.createDataFrame([(k, t, "z") for k, t in items], "item_id long, text string, seed string")
+    found = {(r.doc_id, r.item_id, r.score) for r in decontaminate.overlaps(docs(spark, rows), bench, broadcast_seeds=limit).collect()}
+    assert found == brute_overlaps(rows, items)
+    df = docs(spark, [*rows, (None, "clean")])
+    kept = decontaminate.decontaminate(df, bench)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _, _ in found} | {None}
+    assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
+    assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
