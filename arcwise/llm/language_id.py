@@ -135,8 +135,11 @@ def mixture(gram: np.ndarray, model: dict, penalty: float = 2.0, most: int = 8)
     return best[0], best[1] + shift
 
 
-def predict(docs: DataFrame, model: dict, carry: list[str], penalty: float = 2.0) -> DataFrame:
-    """The carried columns with lang_pred, score, languages (name and proportion of each in the mixture)."""
+def predict(docs: DataFrame, model: dict, carry: list[str], penalty: float = 2.0, keep: float | None = None) -> DataFrame:
+    """The carried columns with lang_pred, score, languages (name and proportion of each in the mixture).
+
+    With `keep`, the carried columns alone, of the rows with a language that has such a score.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = [F.col(f"`{c}`") for c in carry]
@@ -161,7 +164,10 @@ def predict(docs: DataFrame, model: dict, carry: list[str], penalty: float = 2.0
 
     schema = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in names), "lang_pred string, score double, languages array<struct<lang:string,share:double>>"])
     out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "lang_pred", "score", "languages")
+    carried = [F.col(n).alias(c) for n, c in zip(names, carry, strict=True)]
+    if keep is not None:
+        return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= keep)).select(*carried)
+    return out.select(*carried, "lang_pred", "score", "languages")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,5 +185,4 @@ def language_id(docs: DataFrame, penalty: float = 2.0) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5, penalty: float = 2.0) -> DataFrame:
     """docs without those that are `und` or in which no language has `least` of the letters; all columns stay."""
     model = train(docs, ~held_out(F.col("doc_id")))
-    out = predict(docs, model, docs.columns, penalty)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return predict(docs, model, docs.columns, penalty, keep=least)
