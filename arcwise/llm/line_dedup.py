@@ -71,7 +71,7 @@ def line_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, counts:
     lines = F.split(text, "\n")
     parts = F.flatten(F.transform("_aw_keep", lambda s: F.slice(lines, s["a"] + 1, s["n"])))
     left = F.concat(parts, F.slice(lines, F.col("_aw_tail") + 1, F.size(lines)))
-    out = joined.withColumn("_aw_left", F.when(F.col("_aw_tail").isNotNull(), left))
+    out = joined.withColumn("_aw_left", F.when(F.col("_aw_tail").isNotNull() & F.col("text").isNotNull(), left))
     new = F.when(F.col("_aw_left").isNull(), F.col("text")).otherwise(F.array_join("_aw_left", "\n"))
     columns = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:

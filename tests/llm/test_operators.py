@@ -67,7 +67,7 @@ def tongue(rnd, kind, n):
 
 def test_language_id(spark):
     rnd = random.Random(2)
-    rows = [(i, tongue(rnd, k, 20), k) for i, k in enumerate(["aa", "bb"] * 40)] + [(900, None, "aa"), (901, "12 !?", "bb"), (902, "", None), (903, tongue(rnd, "aa", 60) + " " + tongue(rnd, "bb", 40), None), (None, "balo", "aa")]
+    rows = [(i, tongue(rnd, k, 20), k) for i, k in enumerate(["aa", "bb"] * 40)] + [(900, None, "aa"), (901, "12 !?", "bb"), (902, "", None), (903, tongue(rnd, "aa", 90) + " " + tongue(rnd, "bb", 40), None), (None, "balo", "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("c0", F.lit(1)).withColumn("score", F.lit("clash"))
     got = {r.doc_id: r for r in language_id.language_id(df).collect()}
     assert len(got) == len(rows)
@@ -84,6 +84,12 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_on_held_out_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = language_id.language_id(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert len(out) > 20 and sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
+
+
 def test_trigrams_stay_with_their_documents():
     gram, owner = language_id.trigrams(["ab", None, "", "İx y"])
     alone = [language_id.trigrams([t])[0].tolist() for t in ("ab", "İx y")]
