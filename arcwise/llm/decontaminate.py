@@ -22,6 +22,7 @@ from .common import text_of
 #: 1 counts, 0 is ignored.
 MASKS = ("1101101101", "1110011011", "1011110101")
 SPAN = 10
+PIECE = 512
 
 
 def tokens(text: Column) -> Column:
@@ -44,33 +45,35 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 5, broadca
     lengths = sorted(r[0] for r in items.where(F.size("toks") < SPAN).select(F.size("toks")).distinct().collect())  # under SPAN values
     masks = [(m, n) for n, m in enumerate(MASKS)] + [("1" * n, 100 + n) for n in lengths]
 
-    def seeds(df: DataFrame, keep: list[str], of_item: bool) -> DataFrame:
-        out = []
-        for mask, number in masks:
-            n = len(mask)
-            part = df.where(F.size("toks") == n) if of_item and n < SPAN else df.where(F.size("toks") >= n)
-            part = part.select(*keep, "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - n)).alias("pos"))
-            out.append(part.select(*keep, "toks", "pos", _seed(mask, number).alias("seed")))
-        return reduce(DataFrame.unionByName, out)
-
-    item_seeds = seeds(items, ["item_id"], True).select("item_id", F.col("toks").alias("item"), F.col("pos").alias("ipos"), "seed")
-    small = item_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    keyed = text_of(docs, "doc_id", "text").select("doc_id", tokens(F.col("text")).alias("toks"))
-    # All masks of a position in one row: the document's tokens are made and walked once.
+    longest = items.agg(F.max(F.size("toks"))).first()[0] or 0
+    parts = []
+    for mask, number in masks:
+        n = len(mask)
+        part = items.where(F.size("toks") == n if n < SPAN else F.size("toks") >= n)
+        part = part.select("item_id", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - n)).alias("pos"))
+        parts.append(part.select("item_id", F.col("toks").alias("item"), F.col("pos").alias("ipos"), _seed(mask, number).alias("seed")))
+    item_seeds = reduce(DataFrame.unionByName, parts)
+    small = longest <= PIECE and item_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
+
+    # Documents go in pieces of PIECE tokens with what an item may need on either side: a row stays small, however long the text.
+    side = max(SPAN, longest) if small else SPAN
+    keyed = text_of(docs, "doc_id", "text").select("doc_id", tokens(F.col("text")).alias("all"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE)), lambda i: F.struct(i.alias("at"), F.greatest(F.lit(0), i - side).alias("from"), F.slice("all", F.greatest(F.lit(0), i - side) + 1, F.least(i, F.lit(side)) + PIECE + side).alias("toks")))
+    pieces = keyed.where(F.size("all") > 0).select("doc_id", F.explode(cut).alias("c")).select("doc_id", F.col("c.at").alias("at"), F.col("c.from").alias("from"), F.col("c.toks").alias("toks"))
+    here = F.col("at") - F.col("from")
+    walked = pieces.select("doc_id", "from", "toks", F.explode(F.sequence(here, F.least(here + PIECE, F.size("toks")) - 1)).alias("pos"))
     each = F.array(*[F.when(F.col("pos") + len(m) <= F.size("toks"), _seed(m, n)) for m, n in masks])
-    least = min([SPAN, *lengths])
-    walked = keyed.where(F.size("toks") >= least).select("doc_id", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - least)).alias("pos"))
-    doc_seeds = walked.select("doc_id", "toks", "pos", F.explode(each).alias("seed"))
+    doc_seeds = walked.select("doc_id", "from", "toks", "pos", F.explode(each).alias("seed"))
     if small:
         hits = doc_seeds.join(F.broadcast(item_seeds), "seed")
-    else:  # positions travel without the tokens, and only those that hit fetch them
-        found = doc_seeds.select("doc_id", "pos", "seed").join(item_seeds, "seed").select("doc_id", "item_id", "item", (F.col("pos") - F.col("ipos")).alias("offset")).distinct()
-        hits = found.join(keyed, "doc_id").withColumn("pos", F.col("offset")).withColumn("ipos", F.lit(0))
+    else:  # positions travel without the tokens, and only documents with hits bring theirs
+        found = doc_seeds.select("doc_id", (F.col("from") + F.col("pos")).alias("at"), "seed").join(item_seeds, "seed")
+        found = found.select("doc_id", "item_id", "item", (F.col("at") - F.col("ipos")).alias("offset")).distinct()
+        hits = found.join(keyed, found["doc_id"].eqNullSafe(keyed["doc_id"])).select(found["doc_id"], "item_id", "item", F.lit(0).alias("from"), F.col("offset").alias("pos"), F.lit(0).alias("ipos"), F.col("all").alias("toks"))
     # The item laid over the document: element k of the item against element offset + k of the document.
     first = F.greatest(F.lit(0), F.col("ipos") - F.col("pos"))
     start = F.greatest(F.lit(0), F.col("pos") - F.col("ipos"))
-    laid = hits.select("doc_id", "item_id", F.size("item").alias("item_tokens"), (F.col("pos") - F.col("ipos")).alias("doc_pos"), F.slice("item", first + 1, F.size("item")).alias("a"), F.slice("toks", start + 1, F.size("item") - first).alias("b"))
-    laid = laid.dropDuplicates(["doc_id", "item_id", "doc_pos"]) if not small else laid
+    laid = hits.select("doc_id", "item_id", F.size("item").alias("item_tokens"), (F.col("from") + F.col("pos") - F.col("ipos")).alias("doc_pos"), F.slice("item", first + 1, F.size("item")).alias("a"), F.slice("toks", start + 1, F.size("item") - first).alias("b"))
     equal = F.zip_with("a", "b", lambda x, y: F.when(x == y, F.lit(1)).otherwise(F.lit(-2)))
     zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("matched"), F.lit(0).alias("top"))
 
