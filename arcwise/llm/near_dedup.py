@@ -9,8 +9,9 @@ of the same shingles in another order don't align. A pair whose union matches 0.
 probability over 0.999.
 
 Texts of equal words are one class before that and are represented by one row. In a band, members meet two leaders, not
-each other; those of a component already found drop out; what is left of different components meets pair by pair
-(rounds of leaders first), so no link between candidates is lost, and a group of copies never makes its square.
+each other; those of a component already found drop out. Texts whose bands still hold several components then meet
+by exact prefix and position filtering on their labelled shingles, so no link between candidates is lost, and neither
+copies nor a family of loosely alike texts make their square.
 Components come from alternating large-star and small-star steps on written tables.
 
 Nulls: a null text counts as empty; texts without words are one class. A null doc_id sorts first and can be a class's
@@ -206,13 +207,54 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _labelled():
+    """Shingles with their occurrence numbers, one row each."""
+
+    def run(batches):
+        for batch in batches:
+            for i, root, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                s = np.frombuffer(data, np.uint32)
+                order = np.argsort(s, kind="stable")
+                ranked = s[order].astype(np.int64)
+                start = np.r_[True, ranked[1:] != ranked[:-1]]
+                label = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
+                m = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * m, pa.binary()), pa.array([root] * m, pa.binary()), pa.array(np.full(m, m, np.int32)), pa.array(ranked << 31 ^ label)], names=["id", "root", "n", "tok"])
+
+    return run
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, other) of all pairs of different root that can reach the similarity, by prefix and position.
+
+    Two sets that do must share one of their (1 - similarity) * n + 1 rarest labelled shingles, and after the first
+    one that they share both must have enough left. Shingles of one text only are never shared: a text with so many of
+    them that they fill its prefix has no partner, which is what keeps a large family of loosely alike texts apart.
+    """
+    toks = stored(nodes.join(texts, "id").select("id", "root", "s").mapInArrow(_labelled(), "id binary, root binary, n int, tok long"), "labelled")
+    often = stored(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    lists = toks.join(often, "tok").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("x"))
+    alone = F.col("n") - F.size("x")
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
+    lists = lists.select("id", "root", "n", alone.alias("alone"), F.posexplode(F.slice("x", 1, F.greatest(F.lit(0), prefix - alone))).alias("k", "y"))
+    lists = stored(lists.select("id", "root", "n", (F.col("alone") + F.col("k")).alias("i"), F.col("y.tok").alias("tok")), "prefixes")
+    several = lists.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
+    lists = stored(lists.join(several, "tok"), "prefixes")
+    a = lists.select("tok", "id", "root", "n", "i")
+    b = lists.select("tok", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "i")])
+    share = similarity / (1 + similarity)
+    enough = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= (F.col("n") + F.col("n2")) * share - 1e-9
+    near = F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-9
+    return a.join(b, "tok").where((F.col("root") < F.col("root2")) & enough & near).select("id", F.col("id2").alias("other")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size, kept (doc_id is class_id) for every row."""
     rows = text_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The MD5 of its words stands for a text.
     made = stored(rows.mapInArrow(_sketcher(), "doc_id long, id binary, bands array<long>"), "sketches")
     unlike = made.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bands").alias("bands"))
-    members = stored(unlike.where(F.size("bands") > 0).select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket")), "bands")
+    members = stored(unlike.where(F.size("bands") > 0).select("id", "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")), "bands")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stored(members.join(shared, "bucket"), "members")
 
@@ -240,17 +282,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, rounds: int = 1) -
             state = state.join(open_, "bucket")
         state = stored(state, "state")
         if turn < rounds:
-            # Each member meets two leaders of the bucket, others in each round.
+            # Each member meets two leaders of the bucket: the text with the most copies, and one drawn by hash.
             rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "root")
-            lead = state.groupBy("bucket").agg(F.array(F.min(rank), F.max(rank)).alias("two")).select("bucket", F.explode("two").alias("l"))
+            lead = state.groupBy("bucket").agg(F.array(F.max_by(rank, F.struct("n", "id")), F.min(rank)).alias("two")).select("bucket", F.explode("two").alias("l"))
             pairs = state.join(lead, "bucket").where((F.col("id") != F.col("l.id")) & (F.col("root") != F.col("l.root"))).select("id", F.col("l.id").alias("other"))
         else:
-            # The exact rest: pairs of components that share a bucket, then their members that haven't met.
-            own = state.select("bucket", "root").distinct()
-            beside = own.join(own.select("bucket", F.col("root").alias("root2")), "bucket").where("root < root2")
-            left = beside.join(state.select("bucket", "root", "id"), ["bucket", "root"])
-            right = state.select("bucket", F.col("root").alias("root2"), F.col("id").alias("other"))
-            pairs = left.join(right, ["bucket", "root2"]).select("id", "other")
+            # The exact rest, among texts whose buckets hold several components.
+            pairs = _prefix_pairs(state.select("id", "root").distinct(), texts, similarity)
         pairs = pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
         pairs = stored(pairs.join(tried, ["u", "v"], "left_anti") if turn else pairs, "pairs")
         if pairs.isEmpty():
