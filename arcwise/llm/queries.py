@@ -81,6 +81,15 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op3_sharding": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+        b AS (SELECT t, regexp_extract_all(hex(encode(t)), '..') AS bytes FROM (SELECT DISTINCT t FROM d)),
+        crc AS (SELECT t, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(bytes, lambda h: ('0x' || h)::BIGINT),
+                    lambda c, y: list_reduce([xor(c, y)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS z FROM b),
+        o AS (SELECT *, sum(size) OVER (ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS own, sum(size) OVER (PARTITION BY k) AS grp, sum(size) OVER () AS total FROM d),
+        e AS (SELECT *, CASE WHEN grp * 512 <= total THEN max(own) OVER (PARTITION BY k) ELSE own END AS fin FROM o),
+        s AS (SELECT *, least(7, ((fin - 1) * 8) // total)::INT AS shard, row_number() OVER (ORDER BY k, doc_id) - 1 AS idx FROM e)
+        SELECT doc_id, size, z AS text_crc32, 'bytes' AS law, shard, idx - min(idx) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s JOIN crc USING (t)""",
     "op5_line_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         lines AS (SELECT doc_id, u.i - 1 AS pos, ('0x' || md5(l[u.i])[1:15])::BIGINT AS h FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
