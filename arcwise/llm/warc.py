@@ -101,11 +101,17 @@ def _writer(folder: str):
                 found[k].append(v)
             index_at, block_at, lines = index_at + len(packed), at, []
 
+        place, marks = None, {}  # of the page that comes next: digest -> the response that it repeats
         for batch in batches:
-            for key, page_id, url, html, keep, n, digest in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for key, page_id, mark, url, html, keep, digest in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (key, page_id) != place:
+                    place, marks = (key, page_id), {}
+                if mark == 0:
+                    marks[digest] = keep
+                    continue
                 if warc is None:
                     warc, cdx = (filesystem.open_output_stream(f"{name}.{kind}", compression=None) for kind in ("warc.gz", "cdx"))
-                data = record_bytes(page_id, url, html, keep, digest, n)
+                data = record_bytes(page_id, url, html, marks.get(digest), digest, digest in marks)
                 warc.write(data)
                 lines.append((key, page_id, at, len(data)))
                 at += len(data)
@@ -126,15 +132,15 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes archives and index of page_id, url, html; returns the block directory, itself a stored table."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("html")))
-    firsts = rows.where(F.length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Only what repeats needs the join, and only ids meet it; the payloads are sorted once, below.
-    copies = rows.where(F.length("html") >= min_bytes).select("sha", "page_id")
-    copies = blocks_join(copies, firsts, "sha", F.col("page_id")).where("n > 1").where(~F.col("page_id").eqNullSafe(F.col("keep")))
-    copies = copies.select(F.col("page_id").alias("copy"), F.col("sha").alias("copy_sha"), "keep").distinct()
-    placed = rows.join(copies, rows.page_id.eqNullSafe(copies["copy"]) & (rows.sha == copies["copy_sha"]), "left")
-    placed = placed.select(url_key(F.col("url")).alias("key"), "page_id", "url", "html", "keep", F.col("copy_sha").isNotNull().alias("revisit"), _base32(F.col("sha")).alias("digest"))
-    ordered = placed.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id")
+    rows = rows.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("key", url_key(F.col("url")))
+    large = rows.where(F.length("html") >= min_bytes)
+    firsts = large.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = blocks_join(large.select("sha", "key", "page_id"), firsts, "sha", F.col("page_id")).where("n > 1").where(~F.col("page_id").eqNullSafe(F.col("keep")))
+    # Payloads are moved once, by the sort. A mark with the same key sorts just before the page that is a revisit.
+    none = F.lit(None)
+    marks = copies.select("key", "page_id", F.lit(0).alias("mark"), none.cast("string").alias("url"), none.cast("binary").alias("html"), "keep", "sha").distinct()
+    every = rows.select("key", "page_id", F.lit(1).alias("mark"), "url", "html", none.cast("long").alias("keep"), "sha").unionByName(marks)
+    ordered = every.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "mark").withColumn("sha", _base32(F.col("sha")))
     return stored(ordered.mapInArrow(_writer(new_path(spark, "warc")), _DIRECTORY), "directory")
 
 
