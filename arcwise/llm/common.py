@@ -58,5 +58,12 @@ def hash60(column: Column) -> Column:
     return F.conv(F.substring(F.md5(column.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Has Arrow batches hold `rows` rows at most: with long texts the default of 10,000 fills Python and the JVM's buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_join, stored, text_of
+from .common import blocks_join, small_batches, stored, text_of
 
 WORDS, KEEP, ROWS, BANDS = 5, 2, 3, 32
 _WORD = re.compile(r"[^\W_]+")
@@ -58,7 +58,7 @@ def text_id(words: list[str]) -> bytes:
 def shingles(words: list[str], known: dict | None = None) -> np.ndarray:
     """Hashes of the five-word shingles in the order of the text; `known` keeps words' hashes."""
     known = {} if known is None else known
-    if len(known) > 500_000:
+    if len(known) > 50_000:
         known.clear()
     ids = np.empty(len(words), np.uint32)
     for i, w in enumerate(words):
@@ -83,7 +83,7 @@ def sketch(s: np.ndarray) -> list[int]:
     label[order] = (np.arange(len(s)) - first).astype(np.uint32)
     labelled = _stir(s + label * np.uint32(0x9E3779B1))
     values = np.empty((ROWS * BANDS, KEEP), np.uint32)
-    block = max(1, (1 << 20) // len(s))
+    block = max(1, (1 << 18) // len(s))
     for a in range(0, ROWS * BANDS, block):
         h = (labelled[None, :] ^ _XOR[a : a + block, None]) * _MULT[a : a + block, None]
         rows = np.arange(len(h))
@@ -250,6 +250,7 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> Data
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size, kept (doc_id is class_id) for every row."""
+    small_batches(docs.sparkSession)
     rows = text_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The MD5 of its words stands for a text.
     made = stored(rows.mapInArrow(_sketcher(), "doc_id long, id binary, bands array<long>"), "sketches")
