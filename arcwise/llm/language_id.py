@@ -182,7 +182,7 @@ def language_id(docs: DataFrame, penalty: float = 2.0) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, penalty: float = 2.0) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.4, penalty: float = 2.0) -> DataFrame:
     """docs without those that are `und` or in which no language has `least` of the letters; all columns stay."""
     model = train(docs, ~held_out(F.col("doc_id")))
     return predict(docs, model, docs.columns, penalty, keep=least)

@@ -19,7 +19,7 @@ from arcwise.llm.near_dedup import near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that has half of them, go."""
+    """Documents without letters, or of which no language has four tenths, go."""
     return keep_identified(docs)
 
 
