@@ -4,7 +4,8 @@ Emails, IPv4 addresses, card numbers and phone numbers are found in the text as
 of transducers rewrites the text and keeps, for every character it writes, where in the source it came from: homoglyphs
 and full-width forms become ASCII, invisible characters go, `[at]`, ` at ` with a spelled ` dot `, `(dot)` and their
 like become @ and ., runs of spelled digits become digits, `plus` before them a plus sign. Identifiers in the result
-map back to spans of the source; those that meet no base span are added.
+map back to spans of the source; those that don't lie within a base span of their kind are added. So a base span that is
+only a fragment of an identifier stands beside the whole one.
 
 Base patterns are matched leftmost and without overlaps for each kind; all scans are linear in the text.
 Nulls: a null text counts as empty and has no spans. Rows are judged each by itself; equal texts get equal spans. An
@@ -179,15 +180,28 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     other = deobfuscated(text)
     if other is None:
         return base, base
-    taken = sorted((a, b) for _, a, b in base)
     extra = []
     for kind, a, b in find(other.text):
-        span = (other.starts[a], other.ends[b - 1])
-        if not any(x < span[1] and span[0] < y for x, y in taken):
-            extra.append((kind, *span))
+        start, end = other.starts[a], other.ends[b - 1]
+        if not any(k == kind and x <= start and end <= y for k, x, y in base):
+            extra.append((kind, start, end))
     if not extra:
         return base, base
-    return base, sorted(base + extra, key=lambda x: (KINDS.index(x[0]), x[1]))
+    return base, sorted(base + extra, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+
+
+def merged(found) -> list[tuple[str, int, int]]:
+    """Spans by start, those that overlap made one of the kind of the longest of them."""
+    out, longest = [], 0
+    for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
+        if not out or a >= out[-1][2]:
+            out.append((kind, a, b))
+            longest = b - a
+            continue
+        k, start, end = out[-1]
+        out[-1] = (kind if b - a > longest else k, start, max(end, b))
+        longest = max(longest, b - a)
+    return out
 
 
 def _joined(found) -> str:
@@ -214,7 +228,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span, added ones too, replaced by its kind in angle brackets; null texts stay null."""
+    """docs with every span, added ones too, replaced by its kind in angle brackets, overlapping ones as one; null texts stay null."""
     names = docs.columns
     at = names.index("text")
 
@@ -222,10 +236,8 @@ def masked(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column(at).to_pylist():
-                last = None
-                for k, a, b in sorted(spans(text)[1], key=lambda x: (-x[1], -x[2])) if text else ():
-                    if last is None or b <= last:
-                        text, last = f"{text[:a]}<{k}>{text[b:]}", a
+                for k, a, b in reversed(merged(spans(text)[1])) if text else ():
+                    text = f"{text[:a]}<{k}>{text[b:]}"
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 :]], names=names)
 

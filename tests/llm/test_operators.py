@@ -396,6 +396,16 @@ def test_pii_leaves_prose_alone(spark):
     assert [r.text for r in masked] == ["<email> x", None]
 
 
+def test_pii_fragments_give_way_to_whole_identifiers(spark):
+    for text in ("jаne.doe@corp.org", "jane@mail.cоrp.org", "ja\u200bne@corp.org"):
+        base, every = pii.spans(text)
+        assert len(base) == 1 and base[0] != ("email", 0, len(text))
+        assert ("email", 0, len(text)) in every and base[0] in every and len(every) == 2
+    assert pii.spans("é jane@corp.org 10.0.0.7 аб")[1] == [("email", 2, 15), ("ip", 16, 24)]
+    rows = [(1, "to jаne.doe@corp.org now"), (2, "jane@mail.cоrp.org, 10.0.0.7")]
+    assert [r.text for r in pii.masked(docs(spark, rows)).orderBy("doc_id").collect()] == ["to <email> now", "<email>, <ip>"]
+
+
 # 9
 
 
