@@ -91,11 +91,13 @@ _AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", re.I)
 # With plain words for at, the domain's dots must be spelled too: "look at example.com" is prose.
 _PLAIN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9_%+-]+(?:(?: dot |\.)[A-Za-z0-9_%+-]+)*)( at )([A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)(?![\w-])", re.I)
+#: What _AT and _DOT need; _PLAIN and _SPELLED_DOT need "dot".
+_CLOAK = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
 _SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z]{2,})", re.I)
 _DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NAMES = "|".join(_DIGITS)
-_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[ -]+)?(?:(?:{_NAMES}|[0-9]+|oh)(?:[ .-]+(?:point |dot )?|(?![A-Za-z]))){{4,}}", re.I)
-_NAME = re.compile(rf"({_NAMES})|(oh)|(plus[ -]+)|( *(?:point|dot) *)", re.I)
+_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[ -]+)?(?:(?:{_NAMES}|[0-9]+|oh)(?:[ .-]+(?:point |dot )?|(?![A-Za-z]))){{4,}}", re.I | re.A)
+_NAME = re.compile(rf"({_NAMES})|(oh)|(plus[ -]+)|( *(?:point|dot) *)", re.I | re.A)
 
 
 class Traced:
@@ -166,10 +168,10 @@ def deobfuscated(text: str) -> Traced | None:
     if not text.isascii():
         out = out.rewrite(_glyphs(out.text))
     low = out.text.lower()
-    if "dot" in low or "at" in low and re.search(r"[\[({<]\s*(?:at|@)\s*[\])}>]", low):
+    if "dot" in low or _CLOAK.search(out.text):
         out = out.rewrite(_disguises(out.text))
         low = out.text.lower()
-    if sum(low.count(w) for w in _DIGITS) >= 4:
+    if sum(low.count(w) for w in _DIGITS) >= 2:  # _spelled rewrites no run with fewer
         out = out.rewrite(_spelled(out.text))
     return out if out.text != text else None
 

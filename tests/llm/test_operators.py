@@ -406,6 +406,16 @@ def test_pii_fragments_give_way_to_whole_identifiers(spark):
     assert [r.text for r in pii.masked(docs(spark, rows)).orderBy("doc_id").collect()] == ["to <email> now", "<email>, <ip>"]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("jane@corp[.]org", "email"), ("192[.]168[.]1[.]1", "ip"), ("jane[@]corp.org", "email"), ("jane{ @ }corp(.)org", "email"), ("+1 555 one two three 4567", "phone"), ("+1 555 444 one-two 89", "phone")],
+)
+def test_pii_disguises_count_whatever_else_the_text_holds(text, kind):
+    for before, after in (("", ""), ("anecdote: ", ""), ("", " for someone"), ("", " seven")):
+        assert (kind, len(before), len(before + text)) in pii.spans(before + text + ("" if not after else " /" + after))[1], before + text + after
+    assert pii.spans("ſix ſix ſix ſix six six") == ([], [])
+
+
 # 9
 
 
