@@ -9,7 +9,7 @@ from .bpe import encode_public
 from .decontaminate import overlaps
 from .exact_dedup import exact_dedup
 from .language_id import language_id
-from .line_dedup import line_dedup
+from .line_dedup import line_dedup, whole_lines
 from .near_dedup import near_duplicates
 from .pii import find_pii
 from .sharding import sampled_shards
@@ -45,6 +45,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op5_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's rule; op5_line_dedup keeps to its SQL, which has no fingerprints of single lines."""
+    out = whole_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -72,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sharding, op4_bpe, op5_line_dedup, op6_near_dedup, op7_url_filter, op8_pii, op9_warc, op10_decontaminate, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_sharding, op4_bpe, op5_line_dedup, op5_whole_lines, op6_near_dedup, op7_url_filter, op8_pii, op9_warc, op10_decontaminate, pipeline)}
 
 _RULE_SQL = " UNION ALL ".join(f"SELECT '{h}' AS rh, '{p}' AS rp, '{v}' AS rv" for h, p, v in URL_RULES)
 

@@ -14,7 +14,7 @@ from arcwise.llm.bpe import encode_public
 from arcwise.llm.common import new_path
 from arcwise.llm.decontaminate import decontaminate
 from arcwise.llm.language_id import keep_identified
-from arcwise.llm.line_dedup import line_dedup
+from arcwise.llm.line_dedup import whole_lines
 from arcwise.llm.near_dedup import near_duplicates
 
 
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go from the texts; no document goes."""
-    return line_dedup(docs)
+    """Later repeats of runs of lines, and of single long lines, go from the texts; no document goes."""
+    return whole_lines(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,6 +223,35 @@ def test_line_dedup_odd(spark):
     assert got[None].text == "a b\nc" and got[1].text == "" and got[1].n_removed == 2 and got[2].text is None
 
 
+def brute_whole(rows):
+    """Of two lines in a row, or a long line, every occurrence but the first goes."""
+    seen, out = {}, {}
+    for r in sorted(set(rows), key=lambda r: (r[0] is not None, r[0])):
+        lines, cut = (r[1] or "").split("\n"), set()
+        for n in (1, 2):
+            for i in range(len(lines) - n + 1):
+                run = tuple(lines[i : i + n])
+                if n == 2 or len(run[0]) >= 100 or run[0].count(" ") >= 19:
+                    if seen.setdefault(run, (r, i)) != (r, i):
+                        cut |= set(range(i, i + n))
+        out[r] = None if r[1] is None else "\n".join(x for k, x in enumerate(lines) if k not in cut)
+    return out
+
+
+def test_whole_lines(spark):
+    rnd = random.Random(15)
+    long = [" ".join(words(rnd, n)) for n in (20, 24, 60)] + ["a " * 19 + "a", "本" * 100]
+    short = ["本" * 99, "a " * 18 + "a", "x", "y", "z", ""]
+    rows = [(i, "\n".join(rnd.choice(long + short * 3) for _ in range(rnd.randrange(0, 9)))) for i in range(60)]
+    rows += [(100 + k, t) for k, t in enumerate(long + short)] + [(200, None), (201, long[0]), (201, long[0]), (None, "p\nq\n" + long[2])]
+    got = line_dedup.whole_lines(docs(spark, rows)).select("doc_id", "text").collect()
+    want = brute_whole(rows)
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((r[0], want[r])) for r in rows)
+    alone = {r.doc_id: r.text for r in line_dedup.whole_lines(docs(spark, [(1, long[0]), (2, long[0]), (3, "x"), (4, "x"), (5, "u\nx\ny\nv"), (6, "x\ny")])).collect()}
+    assert alone == {1: long[0], 2: "", 3: "x", 4: "x", 5: "u\nx\ny\nv", 6: ""}
+    assert line_dedup.whole_lines(docs(spark, [])).count() == 0
+
+
 # 6
 
 
