@@ -131,6 +131,11 @@ def lp_simrank(spark, d):
     return _scores(simrank(*_setup(spark, d), steps=_STEPS))
 
 
+def lp_simrank_unbounded(spark, d):
+    """All the steps of the operator; lp_simrank keeps to its SQL."""
+    return _scores(simrank(*_setup(spark, d)))
+
+
 def walk_count(spark, d):
     g, c = _setup(spark, d)
     return walk_counts(g, with_ids(c))
@@ -198,6 +203,17 @@ def closure_ultrametric(spark, d):
     return _scores(closure(g, c, _relsim(g), kind="ultrametric", max_hops=_HOPS))
 
 
+def closure_kl_unbounded(spark, d):
+    """Without a bound on the length of paths; closure_kl keeps to its SQL."""
+    return _scores(klinker(*_setup(spark, d)))
+
+
+def closure_ultrametric_unbounded(spark, d):
+    """Without a bound on the length of paths; closure_ultrametric keeps to its SQL."""
+    g, c = _setup(spark, d)
+    return _scores(closure(g, c, _relsim(g), kind="ultrametric"))
+
+
 def closure_paths(spark, d):
     """Best paths without a bound on their length."""
     g, c = _setup(spark, d)
@@ -211,7 +227,7 @@ def flow_stream(spark, d):
 
 def flow_edges(spark, d):
     g, c = _setup(spark, d)
-    return edge_flows(stream(g, c, _relsim(g), npaths=2))
+    return edge_flows(stream(g, c, _relsim(g)))
 
 
 def pra_path_probability(spark, d):
@@ -253,7 +269,7 @@ _FUNCTIONS = (
     lp_katz_effective, lp_pathent, lp_simrank, walk_count, walk_features, walk_features_capped, walk_listing, frequent_path_types, rel_cooccurrence,
     rel_cooccurrence_directed, rel_idf, rel_idf_report, rel_similarity_logtf, rel_similarity_maxtf, rel_top_similar, closure_kl, closure_klrel,
     closure_ultrametric, closure_paths, flow_stream, flow_edges, pra_path_probability, predpath_mutual_information, predpath_first_sightings,
-    predpath_model, pra_model, softmax_normalize,
+    predpath_model, pra_model, softmax_normalize, lp_simrank_unbounded, closure_kl_unbounded, closure_ultrametric_unbounded,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 

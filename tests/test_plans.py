@@ -87,6 +87,26 @@ def test_queries_against_sql(spark, name):
     assert sorted(got) == sorted(want)
 
 
+def test_unbounded_queries_follow_long_paths(spark, monkeypatch):
+    chain = graph(spark, [(k, k + 1, 0) for k in range(6)])
+    monkeypatch.setattr(queries, "_setup", lambda *_: (chain, facts(spark, [(0, 0, 6)])))
+    assert [r.score for r in queries.closure_kl(spark, SF).collect()] == [0]
+    assert [r.score > 0 for r in queries.closure_kl_unbounded(spark, SF).collect()] == [True]
+
+
+def test_whole_steps_and_paths(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries, "_setup", lambda *_: (None, None))
+    monkeypatch.setattr(queries, "_relsim", lambda *_: None)
+    monkeypatch.setattr(queries, "_scores", lambda x: x)
+    monkeypatch.setattr(queries, "edge_flows", lambda x: x)
+    for name in ("simrank", "stream", "closure"):
+        monkeypatch.setattr(queries, name, lambda *_, name=name, **options: asked.update({name: options}))
+    for name in ("lp_simrank_unbounded", "flow_edges", "closure_ultrametric_unbounded"):
+        queries.QUERIES[name](None, SF)
+    assert asked == {"simrank": {}, "stream": {}, "closure": {"kind": "ultrametric"}}
+
+
 def test_entry(spark):
     import __spark_entry__
 
