@@ -15,11 +15,6 @@ def degree_weight(d: Column, kind: str = "logdegree") -> Column:
     raise ValueError(f"weight must be 'degree' or 'logdegree', not {kind!r}")
 
 
-def dombi(a: Column, b: Column) -> Column:
-    """ab / (a + b - ab), 0 if both are 0."""
-    return F.when((a == 0) & (b == 0), F.lit(0.0)).otherwise(a * b / (a + b - a * b))
-
-
 def softmax(score: Column, *by: str, shifted: bool = True) -> Column:
     """exp(score) over its sum within `by`. Shifted by the largest score it equals the plain form where that is finite;
     unshifted, large scores give NaN."""
@@ -29,8 +24,12 @@ def softmax(score: Column, *by: str, shifted: bool = True) -> Column:
 
 
 def link_entropy(ka: Column, kb: Column, m: Column) -> Column:
-    """-log2(1 - prod_{i<kb} (m-ka-i)/(m-i)): the surprise of a link between nodes of degrees ka and kb among m links."""
-    none = F.aggregate(F.sequence(F.lit(0).cast("long"), kb.cast("long") - 1), F.lit(1.0), lambda acc, i: acc * F.greatest(F.lit(0.0), (m - ka - i).cast("double")) / (m - i).cast("double"))
+    """-log2(1 - prod_{i<kb} (m-ka-i)/(m-i)): the surprise of a link between nodes of degrees ka and kb among m links.
+
+    Where the links run out (i reaches m, as with a self-loop at a hub) a link is certain and the entropy 0.
+    """
+    i = F.sequence(F.lit(0).cast("long"), kb.cast("long") - 1)
+    none = F.aggregate(i, F.lit(1.0), lambda acc, k: acc * F.greatest(F.lit(0.0), (m - ka - k).cast("double")) / F.greatest(F.lit(1.0), (m - k).cast("double")))
     return -F.log2(1.0 - none)
 
 

@@ -27,9 +27,12 @@ class KnowledgeGraph:
         """
         w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
         one = edges.select("s", "p", "o", w.alias("w")).dropna(subset=["s", "p", "o"])
-        if symmetric:
-            one = one.unionByName(one.select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "w"))
-        one = one.groupBy("s", "p", "o").agg(F.max("w").alias("w"))
+        if symmetric:  # both directions of a pair meet in one group, so edges are shuffled once
+            pairs = one.groupBy(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), "p").agg(F.max("w").alias("w"))
+            there, back = F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o"))
+            one = pairs.select("p", "w", F.explode(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))).alias("e")).select("e.s", "p", "e.o", "w")
+        else:
+            one = one.groupBy("s", "p", "o").agg(F.max("w").alias("w"))
         return cls(stored(one, "edges") if keep else one, n_relations)
 
     @property

@@ -1,106 +1,82 @@
 """Best path between the ends of a fact, for all facts at once.
 
 The score of a path combines its edges' weights w by ab/(a + b - ab). That is additive in 1/w - 1, so the best path is
-a shortest path with these costs and its score is 1/(1 + cost); 'ultrametric' takes the least weight instead. The
-search is label-correcting, one hop for all facts in each round, and goes on only from nodes whose cost leaves room
-below the worst best-known path of their group.
+a shortest path with these costs and its score is 1/(1 + cost); 'ultrametric' takes the least weight instead.
 
-Facts that share subject and predicate share one search: a fact's own edge matters only if the graph has it, and then
-the fact is a group of its own. Ties are settled by the least (cost, hops, nodes, relations).
+Costs are held in whole billionths: equal paths are equal in whatever order they are summed. Ties go to the path of
+fewest edges, then, from the subject on, to the least (next node, relation). A path that costs over 18 million, a score
+under 1e-7, counts as none. There is no bound on a path's length.
+
+Nulls and repeated candidates: as for the neighbourhood measures. An unknown node can't be reached: score 0, path
+[oid], rpath [-1]; with sid = oid the score is 1 and the path [sid], whether the graph has the node or not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import degree_weight
 from ..graph import KnowledgeGraph
 from ..storage import stored
-from .neighborhood import KEYS, with_ids
+from .neighborhood import KEYS, own_edges, with_ids
+from .search import Search
 
-_BIG = float("inf")
+_UNIT, _HOP, _MOST = 1_000_000_000, 256, 1.8e7
 
 
-def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | None = None, kind: str = "metric", weight: str = "logdegree", free_last_hop: bool | None = None, removal: str = "effective", max_hops: int | None = None) -> DataFrame:
-    """candidates with score, path, rpath (leading -1), weights (of the edges, from the subject on).
+def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | None = None, kind: str = "metric", weight: str = "logdegree", free_last_hop: bool | None = None, removal: str = "effective", paths: bool = True) -> DataFrame:
+    """candidates with score and, with `paths`, path, rpath (leading -1), weights (of the edges, from the subject on).
 
     relsim (r1, r2, sim) multiplies an edge's weight by its similarity to the fact's predicate. free_last_hop (by
-    default if relsim is given) takes the target's degree out of the last edge's weight. Unreachable: score 0, path
-    [oid], rpath [-1]; sid = oid: score 1, path [sid]. Edges of weight 0, null or NaN can't be used.
+    default if relsim is given) takes the target's degree out of the last edge's weight. Edges of weight 0, null or NaN
+    can't be used.
     """
     if kind not in ("metric", "ultrametric"):
         raise ValueError(f"kind must be 'metric' or 'ultrametric', not {kind!r}")
     free = relsim is not None if free_last_hop is None else free_last_hop
-    facts = with_ids(candidates)
-    sims = relsim.select(F.col("r1").alias("gp"), F.col("r2").alias("p"), F.col("sim")) if relsim is not None else None
-    spec = degree_weight(F.col("d"), weight)
-    edges = stored(graph.edges.join(graph.degrees(), F.col("o") == F.col("node")).select("s", "p", "o", spec.alias("spec")), "weighted")
-
-    # Groups: (sid, pid), with `gone` set for the facts whose edge exists.
-    own = graph.edges.select(F.col("s").alias("sid"), F.col("p").alias("pid"), F.col("o").alias("oid"), F.lit(True).alias("has"))
-    gone = F.when(F.col("has") & F.lit(removal == "effective"), F.col("oid"))
-    facts = facts.join(own, KEYS, "left").select(*KEYS, gone.alias("gone")).withColumn("g", F.xxhash64("sid", "pid", "gone"))
-    facts = stored(facts, "facts")
-    groups = facts.select("g", F.col("sid").alias("gs"), F.col("pid").alias("gp"), "gone").distinct()
-    targets = facts.where("sid <> oid").select("g", "oid")
-    # fare: what the last edge of any path costs at least; it tightens the bound below.
-    if sims is None and not free and kind == "metric":
-        spec_of = edges.groupBy(F.col("o").alias("oid")).agg(F.max("spec").alias("spec"))
-        targets = targets.join(spec_of, "oid", "left").select("g", "oid", F.coalesce(1.0 / F.col("spec") - 1.0, F.lit(0.0)).alias("fare"))
-    else:
-        targets = targets.withColumn("fare", F.lit(0.0))
+    widest = kind == "ultrametric"
+    facts = stored(with_ids(candidates), "facts")
+    apart = facts.where("sid <> oid")
+    own = stored(own_edges(graph, apart), "own") if removal == "effective" else apart.limit(0)
+    sims, top = None, 1.0
+    if relsim is not None:
+        sims = F.broadcast(stored(relsim.select(F.col("r1").alias("pid"), F.col("r2").alias("p"), "sim").where(~F.isnan("sim") & (F.col("sim") > 0)), "sims"))  # relations by relations
+        top = max(1.0, sims.agg(F.max("sim")).first()[0] or 0.0)
 
     def cost(w):
-        """Additive for the metric kind; for the ultrametric kind the largest cost of a path is what counts."""
-        return F.greatest(F.lit(0.0), 1.0 / w - 1.0)
-
-    def joined(c, d):
-        return c + d if kind == "metric" else F.greatest(c, d)
-
-    def weighed(rows: DataFrame) -> DataFrame:
-        """w: the edge's weight within; wl: as the last one."""
-        if sims is None:
-            return rows.withColumn("w", F.col("spec")).withColumn("wl", F.lit(1.0) if free else F.col("spec"))
-        with_sim = rows.join(sims, ["gp", "p"]).where(~F.isnan("sim") & (F.col("sim") > 0))
-        return with_sim.withColumn("w", F.col("sim") * F.col("spec")).withColumn("wl", F.col("sim") if free else F.col("sim") * F.col("spec"))
-
-    # One row a group and node: its best label within, as an end of a fact, and the hop that last improved the former.
-    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("gs").alias("path"), F.array(F.lit(-1)).alias("rpath"), F.array().cast("array<double>").alias("weights"))
-    state = groups.select("g", F.col("gs").alias("node"), label.alias("lab"), F.when(F.lit(False), label).alias("last"), F.lit(0).alias("hop"))
-    hop, frontier = 0, state.select("g", "node", "lab")
-    while True:
-        hop += 1
-        reach = frontier.join(groups, "g").join(edges, F.col("node") == F.col("s")).where(F.col("gone").isNull() | ~((F.col("s") == F.col("gs")) & (F.col("p") == F.col("gp")) & (F.col("o") == F.col("gone"))))
-        reach = weighed(reach).where((F.col("w") > 0) & ~F.array_contains("lab.path", F.col("o")))
-
-        def label_by(w: str) -> Column:
-            return F.struct(joined(F.col("lab.cost"), cost(F.col(w))).alias("cost"), (F.col("lab.hops") + 1).alias("hops"), F.concat("lab.path", F.array("o")).alias("path"), F.concat("lab.rpath", F.array("p")).alias("rpath"), F.concat("lab.weights", F.array(w)).alias("weights"))
-
-        new = reach.groupBy("g", F.col("o").alias("node")).agg(F.min(label_by("w")).alias("lab"), F.min(label_by("wl")).alias("last"))
-        every = state.select("g", "node", F.col("lab").alias("old"), "hop", "last", F.when(F.lit(False), F.col("lab")).alias("new")).unionByName(new.select("g", "node", F.when(F.lit(False), F.col("lab")).alias("old"), F.lit(None).cast("int").alias("hop"), "last", F.col("lab").alias("new")))
-        every = every.groupBy("g", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"), F.min("last").alias("last"), F.max("hop").alias("hop"))
-        better = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))
-        state = stored(every.select("g", "node", F.least("old", "new").alias("lab"), "last", F.when(better, F.lit(hop)).otherwise(F.col("hop")).alias("hop")), "labels")
-        if max_hops is not None and hop >= max_hops:
-            break
-        # A group's bound: its worst target; without a path to some target there is none.
-        goals = targets.join(state.select("g", F.col("node").alias("oid"), "last"), ["g", "oid"], "left")
-        bound = goals.groupBy("g").agg(F.max(F.coalesce(F.col("last.cost") - F.col("fare") + 1e-9, F.lit(_BIG))).alias("bound"))
-        frontier = state.where(F.col("hop") == hop).join(bound, "g").where(F.col("lab.cost") <= F.col("bound")).select("g", "node", "lab")
-        if frontier.isEmpty():
-            break
-    best = state.select("g", F.col("node").alias("oid"), F.col("last").alias("l"))
-    found = facts.join(best, ["g", "oid"], "left")
+        units = F.round(F.greatest(F.lit(0.0), 1.0 / w - 1.0) * _UNIT).cast("long")
+        return units if widest else units * _HOP + 1
+
+    spec = degree_weight(F.col("d"), weight)
+    arcs = graph.edges.join(graph.degrees(), F.col("o") == F.col("node")).select("s", "p", "o", spec.alias("spec"))
+    arcs = stored(arcs.withColumn("low", cost(F.col("spec") * top)), "arcs")
+
+    def priced(rows: DataFrame, with_spec: bool) -> DataFrame:
+        if sims is not None:
+            rows = rows.join(sims, ["pid", "p"])
+        w = F.col("spec") if with_spec else F.lit(1.0)
+        rows = rows.withColumn("w", w * F.col("sim") if sims is not None else w)
+        return rows.where(F.col("w") > 1.0 / _MOST).withColumn("c", cost(F.col("w")))
+
+    search = Search(arcs, apart, own, lambda rows: priced(rows, True), lambda rows: priced(rows, not free), widest)
+    labels = search.costs()
+    seconds = None if own.isEmpty() else search.second_costs(labels)
+    best = stored(search.best(labels, seconds), "best")
+    found = best
+    if paths:
+        traced = search.widest_paths(best) if widest else search.paths(best, labels, seconds)
+        if traced is None:  # no fact has a path
+            traced = best.limit(0).select(*KEYS, F.array("sid").alias("path"), F.array("pid").alias("rpath"), F.array().cast("array<double>").alias("weights"))
+        found = best.join(traced, KEYS, "left")
+    found = facts.join(found, KEYS, "left")
+    units = F.col("best") if widest else F.floor(F.col("best") / _HOP)
     same = F.col("sid") == F.col("oid")
-    score = F.when(same, F.lit(1.0)).when(F.col("l").isNull(), F.lit(0.0)).otherwise(1.0 / (1.0 + F.col("l.cost")))
-    found = found.select(
-        *KEYS, score.alias("score"),
-        F.when(same | F.col("l").isNull(), F.array("oid")).otherwise(F.col("l.path")).alias("path"),
-        F.when(same | F.col("l").isNull(), F.array(F.lit(-1))).otherwise(F.col("l.rpath")).alias("rpath"),
-        F.when(same | F.col("l").isNull(), F.array().cast("array<double>")).otherwise(F.col("l.weights")).alias("weights"),
-    )
-    return candidates.drop("score", "path", "rpath", "weights").join(found, KEYS, "left")
+    score = F.when(same, F.lit(1.0)).when(F.col("best").isNull(), F.lit(0.0)).otherwise(1.0 / (1.0 + units / F.lit(float(_UNIT))))
+    columns = [score.alias("score")]
+    if paths:
+        columns += [F.coalesce("path", F.array("oid")).alias("path"), F.coalesce("rpath", F.array(F.lit(-1))).alias("rpath"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights")]
+    return candidates.drop("score", "path", "rpath", "weights").join(found.select(*KEYS, *columns), KEYS, "left")
 
 
 def klinker(graph: KnowledgeGraph, candidates: DataFrame, **options) -> DataFrame:

@@ -1,12 +1,17 @@
 """Measures on common neighbours. Candidates: sid, pid, oid with further columns, which are kept.
 
 removal: 'as_coded' counts the candidate's own edge, 'effective' leaves the edge (sid, pid, oid) out of sid's side.
-No neighbour set is gathered: sizes are degrees, the intersection is a join, so hubs cost rows, never arrays.
+No neighbour set is gathered: sizes are degrees, the intersection is a join over distinct (sid, oid), so hubs cost
+rows, never arrays.
+
+In all scoring methods a candidate with a null id has a null score, repeated candidates get the same score each, and
+an empty table of candidates gives an empty result. A node that the graph doesn't have has no neighbours: with it, and
+in an empty graph, Jaccard is null if neither side has any and else 0, the other measures here are 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import KnowledgeGraph
@@ -15,30 +20,36 @@ KEYS = ["sid", "pid", "oid"]
 
 
 def with_ids(candidates: DataFrame) -> DataFrame:
-    """The distinct candidate facts."""
-    return candidates.select(F.col("sid").cast("long").alias("sid"), F.col("pid").cast("int").alias("pid"), F.col("oid").cast("long").alias("oid")).distinct()
+    """The distinct candidate facts, without those that lack an id."""
+    return candidates.select(F.col("sid").cast("long").alias("sid"), F.col("pid").cast("int").alias("pid"), F.col("oid").cast("long").alias("oid")).dropna().distinct()
 
 
-def sides(graph: KnowledgeGraph, facts: DataFrame, removal: str) -> tuple[DataFrame, DataFrame]:
-    """(from, into): distinct neighbours v of sid and of oid for each fact."""
-    if removal not in ("as_coded", "effective"):
-        raise ValueError(f"removal must be 'as_coded' or 'effective', not {removal!r}")
-    edges = graph.edges.select("s", "p", "o")
-    out = facts.join(edges, F.col("sid") == F.col("s"))
-    if removal == "effective":
-        out = out.where(~((F.col("o") == F.col("oid")) & (F.col("p") == F.col("pid"))))
-    objects = facts.select("oid").distinct().join(edges, F.col("oid") == F.col("s")).select("oid", F.col("o").alias("v")).distinct()
-    return out.select(*KEYS, F.col("o").alias("v")).distinct(), objects
+def own_edges(graph: KnowledgeGraph, facts: DataFrame) -> DataFrame:
+    """The facts that are edges of the graph."""
+    return facts.join(graph.edges.select(F.col("s").alias("sid"), F.col("p").alias("pid"), F.col("o").alias("oid")), KEYS, "left_semi")
 
 
-def _sizes(graph: KnowledgeGraph, facts: DataFrame, removal: str) -> DataFrame:
-    """Facts with ds and do, the numbers of distinct neighbours on either side, and common."""
-    out, objects = sides(graph, facts, removal)
-    ds = out.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("ds"))
-    do = objects.groupBy("oid").agg(F.count(F.lit(1)).alias("do"))
-    common = out.join(objects, ["oid", "v"]).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("common"))
-    sized = facts.join(ds, KEYS, "left").join(do, "oid", "left").join(common, KEYS, "left")
-    return sized.select(*KEYS, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ds", "do", "common")])
+def _counted(graph: KnowledgeGraph, facts: DataFrame, removal: str, weight: Column | None = None) -> DataFrame:
+    """Facts with ds and do, the numbers of distinct neighbours on either side, and common: the sum of `weight` (of the
+    degree d; 1 if None) over common neighbours."""
+    if removal not in ("as_coded", "effective"):
+        raise ValueError(f"removal must be 'as_coded' or 'effective', not {removal!r}")
+    near = graph.adjacency()
+    sizes = near.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    pairs = facts.select("sid", "oid").distinct()
+    met = pairs.join(near.select(F.col("u").alias("sid"), "v"), "sid").join(near.select(F.col("u").alias("oid"), "v"), ["oid", "v"])
+    if weight is not None:
+        met = met.join(graph.degrees().select(F.col("node").alias("v"), "d"), "v")
+    each, zero = weight if weight is not None else F.lit(1.0), F.lit(0.0)
+    at_end = F.col("v") == F.col("oid")
+    common = met.groupBy("sid", "oid").agg(F.sum(F.when(at_end, zero).otherwise(each)).alias("rest"), F.sum(F.when(at_end, each).otherwise(zero)).alias("end"))
+    out = facts.join(sizes.select(F.col("u").alias("sid"), F.col("n").alias("ds")), "sid", "left").join(sizes.select(F.col("u").alias("oid"), F.col("n").alias("do")), "oid", "left").join(common, ["sid", "oid"], "left")
+    out = out.select(*KEYS, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ds", "do")], *[F.coalesce(c, zero).alias(c) for c in ("rest", "end")])
+    if removal == "effective":  # the own edge matters where it is the only one between the two ends
+        single = near.where("m = 1").select(F.col("u").alias("sid"), F.col("v").alias("oid"))
+        lone = own_edges(graph, facts).join(single, ["sid", "oid"], "left_semi").withColumn("lone", F.lit(True))
+        out = out.join(lone, KEYS, "left").withColumn("ds", F.col("ds") - F.when(F.col("lone"), 1).otherwise(0)).withColumn("end", F.when(F.col("lone"), zero).otherwise(F.col("end")))
+    return out.select(*KEYS, "ds", "do", (F.col("rest") + F.col("end")).alias("common"))
 
 
 def _scored(candidates: DataFrame, scores: DataFrame) -> DataFrame:
@@ -47,20 +58,17 @@ def _scored(candidates: DataFrame, scores: DataFrame) -> DataFrame:
 
 def jaccard(graph: KnowledgeGraph, candidates: DataFrame, removal: str = "as_coded") -> DataFrame:
     """Common over all neighbours; null if neither side has any."""
-    sized = _sizes(graph, with_ids(candidates), removal)
+    sized = _counted(graph, with_ids(candidates), removal)
     every = F.col("ds") + F.col("do") - F.col("common")
     return _scored(candidates, sized.withColumn("score", F.when(every > 0, F.col("common") / every)))
 
 
 def adamic_adar(graph: KnowledgeGraph, candidates: DataFrame, removal: str = "as_coded") -> DataFrame:
     """Sum of 1/ln(degree) over common neighbours, 0 without any; a common neighbour of degree 1 gives infinity."""
-    facts = with_ids(candidates)
-    out, objects = sides(graph, facts, removal)
     weight = F.when(F.col("d") > 1, 1.0 / F.ln(F.col("d").cast("double"))).otherwise(F.lit(float("inf")))
-    sums = out.join(objects, ["oid", "v"]).join(graph.degrees(), F.col("v") == F.col("node")).groupBy(*KEYS).agg(F.sum(weight).alias("sum"))
-    return _scored(candidates, facts.join(sums, KEYS, "left").withColumn("score", F.coalesce("sum", F.lit(0.0))))
+    return _scored(candidates, _counted(graph, with_ids(candidates), removal, weight).withColumnRenamed("common", "score"))
 
 
 def degree_product(graph: KnowledgeGraph, candidates: DataFrame, removal: str = "as_coded") -> DataFrame:
-    sized = _sizes(graph, with_ids(candidates), removal)
+    sized = _counted(graph, with_ids(candidates), removal)
     return _scored(candidates, sized.withColumn("score", (F.col("ds") * F.col("do")).cast("double")))

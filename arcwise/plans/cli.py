@@ -3,6 +3,8 @@
     python -m arcwise.plans.cli -m stream -g graph/ -r relsim/ -d candidates.csv -o out/
     python -m arcwise.plans.cli build -d triples.nt -o graph/
     python -m arcwise.plans.cli relsim -g graph/ -o relsim/ --scheme log-tf
+    python -m arcwise.plans.cli -m predpath -g graph/ -d train.csv -o model/
+    python -m arcwise.plans.cli -m predpath -g graph/ -d candidates.csv --model model/ -o out/
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from pyspark.sql import functions as F
 from ..graph import KnowledgeGraph
 from ..operators.dictionary import encode_triples
 from ..operators.relations import cooccurrence, idf_report, relational_similarity, top_similar
-from ..sources.readers import read_candidates, read_graph, read_triples
+from ..sources.readers import read_candidates, read_graph, read_matrix, read_triples
 from ..sources.writers import write_dictionary, write_flows, write_graph, write_matrix, write_scores
-from .learn import train_pra, train_predpath
-from .methods import LEARNERS, LINK_PREDICTION, SEARCHES, score
+from .learn import PathModel, predict, train_pra, train_predpath
+from .methods import LEARNERS, LINK_PREDICTION, SEARCHES, normalize, score
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-g", "--graph", help="folder of a graph")
     p.add_argument("-r", "--relsim", help="folder of relational similarities")
     p.add_argument("-o", "--out", required=True)
+    p.add_argument("--model", help="with a learner: score by this trained model instead of training")
+    p.add_argument("--cooc", help="for relsim: folder of stored co-occurrences, instead of counting them")
+    p.add_argument("--removal", choices=("as_coded", "effective"), help="whether a candidate's own edge counts")
     p.add_argument("--directed", action="store_true")
     p.add_argument("--scheme", default="log-tf", choices=("log-tf", "max-tf"))
     p.add_argument("--relation", type=int, help="with --top: print the relations most similar to this one")
@@ -42,6 +47,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if (args.top is None) != (args.relation is None):
         parser().error("--top and --relation go together")
     spark = spark or SparkSession.builder.appName("arcwise").getOrCreate()
+    if args.removal and args.method == "simrank":
+        parser().error("simrank walks the whole graph; it has no --removal")
     if args.stage == "build":
         nodes, relations, edges = encode_triples(read_triples(spark, args.data))
         write_dictionary(nodes, f"{args.out}/nodes")
@@ -50,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     graph = read_graph(spark, args.graph)
     if args.stage == "relsim":
-        cooc = cooccurrence(graph)
+        cooc = read_matrix(spark, args.cooc).select("r1", "r2", F.col("value").cast("long").alias("c")) if args.cooc else cooccurrence(graph)
         sims = relational_similarity(cooc, graph.n_relations, args.scheme)
         write_matrix(cooc.select("r1", "r2", F.col("c").cast("double").alias("value")), f"{args.out}/cooc")
         write_matrix(sims.select("r1", "r2", F.col("sim").alias("value")), f"{args.out}/relsim")
@@ -61,14 +68,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not args.method or not args.data or not args.graph:
         parser().error("scoring needs a method, candidates and a graph")
     candidates = read_candidates(spark, args.data)
+    own = {"removal": args.removal} if args.removal else {}
+    if args.method in LEARNERS and args.model:
+        write_scores(normalize(predict(PathModel.load(spark, args.model), graph, candidates)), f"{args.out}/scores")
+        return 0
     if args.method in LEARNERS:
         train = train_predpath if args.method == "predpath" else train_pra
-        model = train(graph, candidates)
+        model = train(graph, candidates, **own)
         model.save(spark, args.out)
         print(f"{args.method}: {len(model.paths)} features, C {model.best_c:g}, AUROC {model.auc:.5f}")
         return 0
-    sims = spark.read.parquet(args.relsim).select("r1", "r2", F.col("value").alias("sim")) if args.relsim else None
-    out = score(args.method, graph, candidates, sims)
+    sims = read_matrix(spark, args.relsim).select("r1", "r2", F.col("value").alias("sim")) if args.relsim else None
+    out = score(args.method, graph, candidates, sims, **own)
     if args.method == "stream":
         write_flows(out, f"{args.out}/flows")
     write_scores(out, f"{args.out}/scores")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import degree_weight
 from ..operators.closure import closure, klinker, relklinker
 from ..operators.dictionary import encode_triples
 from ..operators.flow import edge_flows, stream
@@ -18,7 +19,7 @@ from .methods import normalize
 
 _NATION = star.TYPES["nation"] * 1_000_000_000
 _CUSTOMER = star.TYPES["customer"] * 1_000_000_000
-_HOPS, _STEPS, _TOP = 4, 4, 12
+_TOP = 100  # fixed value: how many frequent paths count
 
 
 def _six(c: str | Column) -> Column:
@@ -83,8 +84,8 @@ def kg_outgoing_relations(spark, d):
 
 def kg_edge_weights(spark, d):
     g = star.graph(spark, d)
-    both = g.edge_weights("logdegree").select("s", "p", "o", _six("weight").alias("logdegree"))
-    return both.join(g.edge_weights("degree").select("s", "p", "o", _six("weight").alias("degree")), ["s", "p", "o"])
+    rows = g.edges.join(g.degrees(), F.col("o") == F.col("node"))
+    return rows.select("s", "p", "o", *[_six(degree_weight(F.col("d"), kind)).alias(kind) for kind in ("logdegree", "degree")])
 
 
 def kg_without_candidates(spark, d):
@@ -128,11 +129,6 @@ def lp_pathent(spark, d):
 
 
 def lp_simrank(spark, d):
-    return _scores(simrank(*_setup(spark, d), steps=_STEPS))
-
-
-def lp_simrank_unbounded(spark, d):
-    """All the steps of the operator; lp_simrank keeps to its SQL."""
     return _scores(simrank(*_setup(spark, d)))
 
 
@@ -156,6 +152,11 @@ def walk_listing(spark, d):
     return walks(g, with_ids(c), 2).select(*KEYS, F.array_join("nodes", ",").alias("nodes"), F.array_join("rels", ",").alias("rels"))
 
 
+def walk_listing_three(spark, d):
+    """Walks of three edges from every nation to every region."""
+    return walks(star.graph(spark, d), with_ids(star.region_candidates(spark, d)), 3).select(*KEYS, F.array_join("nodes", ",").alias("nodes"), F.array_join("rels", ",").alias("rels"))
+
+
 def frequent_path_types(spark, d):
     g, c = _setup(spark, d)
     return frequent_paths(path_features(g, with_ids(c), None), _TOP).select(F.array_join("rels", ",").alias("rels"), "n")
@@ -190,34 +191,22 @@ def rel_top_similar(spark, d):
 
 
 def closure_kl(spark, d):
-    return _scores(klinker(*_setup(spark, d), max_hops=_HOPS))
+    return _scores(klinker(*_setup(spark, d), paths=False))
 
 
 def closure_klrel(spark, d):
     g, c = _setup(spark, d)
-    return _scores(relklinker(g, c, _relsim(g), max_hops=_HOPS))
+    return _scores(relklinker(g, c, _relsim(g), paths=False))
 
 
 def closure_ultrametric(spark, d):
     g, c = _setup(spark, d)
-    return _scores(closure(g, c, _relsim(g), kind="ultrametric", max_hops=_HOPS))
-
-
-def closure_kl_unbounded(spark, d):
-    """Without a bound on the length of paths; closure_kl keeps to its SQL."""
-    return _scores(klinker(*_setup(spark, d)))
-
-
-def closure_ultrametric_unbounded(spark, d):
-    """Without a bound on the length of paths; closure_ultrametric keeps to its SQL."""
-    g, c = _setup(spark, d)
-    return _scores(closure(g, c, _relsim(g), kind="ultrametric"))
+    return _scores(closure(g, c, _relsim(g), kind="ultrametric", paths=False))
 
 
 def closure_paths(spark, d):
-    """Best paths without a bound on their length."""
     g, c = _setup(spark, d)
-    return relklinker(g, c, _relsim(g)).select(*KEYS, _six("score").alias("score"), "path", "rpath")
+    return relklinker(g, c, _relsim(g)).select(*KEYS, _six("score").alias("score"), F.array_join("path", ",").alias("path"), F.array_join("rpath", ",").alias("rpath"))
 
 
 def flow_stream(spark, d):
@@ -249,12 +238,12 @@ def predpath_first_sightings(spark, d):
 
 
 def predpath_model(spark, d):
-    g, c = star.graph(spark, d), star.candidates(spark, d, customers=40)
+    g, c = _setup(spark, d)
     return predict(train_predpath(g, c), g, c).select(*KEYS, "class", "score")
 
 
 def pra_model(spark, d):
-    g, c = star.graph(spark, d), star.candidates(spark, d, customers=40)
+    g, c = _setup(spark, d)
     return predict(train_pra(g, c), g, c).select(*KEYS, "class", "score")
 
 
@@ -266,10 +255,10 @@ def softmax_normalize(spark, d):
 _FUNCTIONS = (
     kg_edges, kg_directed_edges, kg_degree, kg_out_degree, kg_relation_histogram, kg_dictionary_encode, kg_dictionary_nodes, kg_slice, kg_neighbors, kg_objects,
     kg_outgoing_relations, kg_edge_weights, kg_without_candidates, kg_update, lp_jaccard, lp_jaccard_effective, lp_adamic_adar, lp_degree_product, lp_katz,
-    lp_katz_effective, lp_pathent, lp_simrank, walk_count, walk_features, walk_features_capped, walk_listing, frequent_path_types, rel_cooccurrence,
+    lp_katz_effective, lp_pathent, lp_simrank, walk_count, walk_features, walk_features_capped, walk_listing, walk_listing_three, frequent_path_types, rel_cooccurrence,
     rel_cooccurrence_directed, rel_idf, rel_idf_report, rel_similarity_logtf, rel_similarity_maxtf, rel_top_similar, closure_kl, closure_klrel,
     closure_ultrametric, closure_paths, flow_stream, flow_edges, pra_path_probability, predpath_mutual_information, predpath_first_sightings,
-    predpath_model, pra_model, softmax_normalize, lp_simrank_unbounded, closure_kl_unbounded, closure_ultrametric_unbounded,
+    predpath_model, pra_model, softmax_normalize,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -288,7 +277,7 @@ _KG = f"""{_DIRECTED},
     e AS MATERIALIZED (SELECT s, p, o FROM raw UNION SELECT o, p, s FROM raw),
     deg AS MATERIALIZED (SELECT o AS node, count(DISTINCT s) AS d FROM e GROUP BY o),
     cand AS (SELECT 1000000000 + c_custkey AS sid, 0 AS pid, 5000000000 + n_nationkey AS oid, (c_nationkey = n_nationkey)::INT AS class
-             FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 10), nation),
+             FROM customer, nation),
     adj AS MATERIALIZED (SELECT s AS u, o AS v, count(*) AS m FROM e GROUP BY s, o)"""
 _SIDES = f"""{_KG},
     fs AS (SELECT sid, pid, oid, v FROM cand JOIN adj ON u = sid),
@@ -301,7 +290,8 @@ _SIZES = """,
 _WALKS = f"""{_KG},
     h1 AS (SELECT sid, pid, oid, p AS r1, o AS n1 FROM cand JOIN e ON s = sid), hb AS (SELECT DISTINCT oid, p AS rl, s AS b FROM cand JOIN e ON o = oid),
     l2 AS (SELECT sid, pid, oid, r1, n1, rl AS r2 FROM h1 JOIN hb USING (oid) WHERE n1 = b),
-    l3 AS (SELECT sid, pid, oid, r1, n1, e.p AS r2, b AS n2, rl AS r3 FROM h1 JOIN hb USING (oid) JOIN e ON e.s = n1 AND e.o = b)"""
+    t3 AS MATERIALIZED (SELECT oid, e.s AS n1, e.p AS r2, b AS n2, rl AS r3 FROM hb JOIN e ON e.o = b),
+    l3 AS (SELECT sid, pid, oid, r1, n1, r2, n2, r3 FROM h1 JOIN t3 USING (oid, n1))"""
 _COOC = """,
     ci AS (SELECT o AS v, p AS r1, count(*) AS ci FROM {e} GROUP BY o, p), cx AS (SELECT s AS v, p AS r2, count(*) AS co FROM {e} GROUP BY s, p),
     cooc AS (SELECT r1, r2, sum(ci * co)::BIGINT AS c FROM ci JOIN cx USING (v) GROUP BY r1, r2)"""
@@ -318,57 +308,69 @@ def _features(cap: int | None) -> str:
     nth = "row_number() OVER (PARTITION BY sid, pid, oid ORDER BY {}) <= " + str(cap)
     q2 = "QUALIFY " + nth.format("r1 DESC, n1 DESC, r2 DESC") if cap else ""
     q3 = "QUALIFY " + nth.format("r1 DESC, n1 DESC, r2 DESC, n2 DESC, r3 DESC") if cap else ""
-    return f"""{_WALKS}, every AS (SELECT sid, pid, oid, '-1,' || r1 || ',' || r2 AS rels FROM (SELECT * FROM l2 {q2})
-        UNION ALL SELECT sid, pid, oid, '-1,' || r1 || ',' || r2 || ',' || r3 FROM (SELECT * FROM l3 {q3})),
-        feats AS MATERIALIZED (SELECT sid, pid, oid, rels, count(*) AS n FROM every GROUP BY ALL)"""
+    return f"""{_WALKS}, feats AS MATERIALIZED (SELECT sid, pid, oid, '-1,' || r1 || ',' || r2 AS rels, count(*) AS n FROM (SELECT * FROM l2 {q2}) GROUP BY sid, pid, oid, r1, r2
+        UNION ALL SELECT sid, pid, oid, '-1,' || r1 || ',' || r2 || ',' || r3, count(*) FROM (SELECT * FROM l3 {q3}) GROUP BY sid, pid, oid, r1, r2, r3)"""
+
+
+_ROUNDS = 8  # more than the search takes on the test tables
 
 
-def _closure_sql(relsim: bool, ultra: bool) -> str:
+def _closure_sql(relsim: bool, ultra: bool, paths: bool = False) -> str:
+    """Whole billionths of cost; of each (object, node) the two least labels of unlike last edges."""
     spec = "1.0 / (1.0 + ln(d))"
     w = f"sim * ({spec})" if relsim else spec
     last = "sim" if relsim else spec
-    join = "JOIN sims ON r1 = gp AND r2 = e.p" if relsim else ""
-    add = "greatest({}, {})" if ultra else "{} + {}"
-    cost = f"greatest(0, 1.0 / ({w}) - 1)"
-    steps = []
-    for h in range(1, _HOPS):
-        new = add.format("x.cost", cost)
-        steps.append(f"""d{h} AS MATERIALIZED (SELECT g, node, min(cost) AS cost FROM (SELECT * FROM d{h - 1} UNION ALL
-            SELECT x.g, e.o, {new} FROM d{h - 1} x JOIN grp USING (g) JOIN e ON e.s = x.node {join} JOIN deg ON deg.node = e.o
-            WHERE {w} > 0 AND (gone IS NULL OR NOT (e.s = gs AND e.p = gp AND e.o = gone))) GROUP BY g, node)""")
-    final = add.format("x.cost", f"greatest(0, 1.0 / ({last}) - 1)")
+    hop = "" if ultra else " * 256 + 1"
+    units = "round(greatest(0, 1.0 / ({}) - 1) * 1000000000)::BIGINT" + hop
+    add = "greatest(x.d, a.c)" if ultra else "x.d + a.c"
+    top = "QUALIFY row_number() OVER (PARTITION BY oid, node ORDER BY min(d), tag) <= 2"
+    steps = [f"""d1 AS MATERIALIZED (SELECT oid, node, tag, min(d) AS d FROM (SELECT a.o AS oid, a.s AS node, a.l AS d, CASE WHEN own.sid IS NOT NULL THEN a.s ELSE -1 END AS tag
+            FROM arc a JOIN (SELECT DISTINCT oid FROM cand) g ON a.o = g.oid LEFT JOIN own ON own.sid = a.s AND own.pid = a.p AND own.oid = a.o) GROUP BY oid, node, tag {top})"""]
+    for h in range(1, _ROUNDS):
+        steps.append(f"""d{h + 1} AS MATERIALIZED (SELECT oid, node, tag, min(d) AS d FROM (SELECT * FROM d{h} UNION ALL
+            SELECT x.oid, a.s, x.tag, {add} FROM d{h} x JOIN arc a ON a.o = x.node WHERE a.s <> x.oid) GROUP BY oid, node, tag {top})""")
     sims = _COOC.format(e="e") + _SIM.format(tf=_LOG) if relsim else ""
-    return f"""WITH {_KG}{sims},
-        fact AS (SELECT sid, pid, cand.oid, CASE WHEN e.s IS NOT NULL THEN cand.oid END AS gone FROM cand LEFT JOIN e ON e.s = sid AND e.p = pid AND e.o = cand.oid),
-        f AS (SELECT *, sid || ':' || pid || ':' || coalesce(gone, -1) AS g FROM fact),
-        grp AS (SELECT DISTINCT g, sid AS gs, pid AS gp, gone FROM f),
-        d0 AS (SELECT g, gs AS node, 0.0::DOUBLE AS cost FROM grp), {", ".join(steps)},
-        best AS (SELECT f.sid, f.pid, f.oid, min({final}) AS cost FROM f JOIN grp USING (g) JOIN d{_HOPS - 1} x USING (g) JOIN e ON e.s = x.node AND e.o = f.oid {join} JOIN deg ON deg.node = e.o
-            WHERE {w} > 0 AND x.node <> f.oid AND (grp.gone IS NULL OR NOT (e.s = gs AND e.p = gp AND e.o = grp.gone)) GROUP BY ALL)
-        SELECT sid, pid, oid, round(CASE WHEN cost IS NULL THEN 0.0 ELSE 1.0 / (1.0 + cost) END, 6) AS score FROM f LEFT JOIN best USING (sid, pid, oid)"""
+    join = "JOIN (SELECT r2, sim FROM sims WHERE r1 = 0) z ON z.r2 = e.p" if relsim else ""
+    score = "round(CASE WHEN best IS NULL THEN 0.0 ELSE 1.0 / (1.0 + best" + ("" if ultra else " // 256") + " / 1e9) END, 6) AS score"
+    sql = f"""WITH {_KG}{sims}, own AS MATERIALIZED (SELECT sid, pid, oid FROM cand SEMI JOIN e ON e.s = sid AND e.p = pid AND e.o = cand.oid),
+        arc AS MATERIALIZED (SELECT s, p, o, {units.format(w)} AS c, {units.format(last)} AS l FROM e JOIN deg ON node = o {join} WHERE {w} > 1 / 1.8e7),
+        {", ".join(steps)}, lab AS MATERIALIZED (SELECT oid, node, arg_min(tag, (d, tag)) AS t1, min(d) AS v1, CASE WHEN count(*) > 1 THEN max(d) END AS v2 FROM d{_ROUNDS} GROUP BY oid, node),
+        fact AS (SELECT cand.sid, cand.pid, cand.oid, CASE WHEN own.sid IS NOT NULL THEN cand.sid ELSE -2 END AS avoid FROM cand LEFT JOIN own USING (sid, pid, oid)),
+        f AS MATERIALIZED (SELECT fact.*, CASE WHEN t1 = avoid THEN v2 ELSE v1 END AS best FROM fact LEFT JOIN lab ON lab.oid = fact.oid AND lab.node = fact.sid)"""
+    if not paths:
+        return f"{sql} SELECT sid, pid, oid, {score} FROM f"
+    steps = ["p0 AS (SELECT sid, pid, oid, avoid, sid AS node, best AS need, sid::VARCHAR AS path, '-1' AS rpath FROM f WHERE best IS NOT NULL)"]
+    for k in range(_ROUNDS):
+        steps.append(f"""p{k + 1} AS MATERIALIZED (SELECT * FROM p{k} WHERE node = oid UNION ALL (SELECT sid, pid, x.oid, avoid, a.o, need - CASE WHEN a.o = x.oid THEN l ELSE c END, path || ',' || a.o, rpath || ',' || a.p
+            FROM p{k} x JOIN arc a ON a.s = x.node LEFT JOIN lab ON lab.oid = x.oid AND lab.node = a.o
+            WHERE x.node <> x.oid AND CASE WHEN a.o = x.oid THEN l = need AND NOT (a.s = avoid AND a.p = pid) ELSE c + CASE WHEN t1 = avoid THEN v2 ELSE v1 END = need END
+            QUALIFY row_number() OVER (PARTITION BY sid, pid, x.oid ORDER BY a.o, a.p) = 1))""")
+    return f"{sql}, {', '.join(steps)} SELECT sid, pid, oid, {score}, coalesce(path, oid::VARCHAR) AS path, coalesce(rpath, '-1') AS rpath FROM f LEFT JOIN (SELECT sid, pid, oid, path, rpath FROM p{_ROUNDS}) USING (sid, pid, oid)"
 
 
 def _simrank_sql() -> str:
-    parts, steps = [], ["t0 AS (SELECT DISTINCT x AS f, x AS w, 1.0::DOUBLE AS pr FROM (SELECT sid AS x FROM cand UNION SELECT oid FROM cand))"]
-    for t in range(_STEPS):
-        if t:
-            steps.append(f"t{t} AS MATERIALIZED (SELECT f, v AS w, sum(pr / d) AS pr FROM t{t - 1} JOIN adj ON u = w JOIN outd USING (u) GROUP BY f, v)")
-        parts.append(f"SELECT sid, oid, a.pr * b.pr * pow(0.8, {t}) * (1 - 0.8) AS x FROM cand JOIN t{t} a ON a.f = sid JOIN t{t} b ON b.f = oid AND b.w = a.w")
-    return f"""WITH {_KG}, outd AS (SELECT u, count(*) AS d FROM adj GROUP BY u), {", ".join(steps)}, met AS (SELECT sid, oid, sum(x) AS x FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL)
-        SELECT sid, pid, oid, round(coalesce(x, 0), 6) AS score FROM cand LEFT JOIN met USING (sid, oid)"""
+    steps = ["q0 AS (SELECT DISTINCT oid AS f, oid AS w, 1.0::DOUBLE AS pr FROM cand)"]
+    for t in range(1, 50):
+        steps.append(f"q{t} AS MATERIALIZED (SELECT f, v AS w, sum(pr / d) AS pr FROM q{t - 1} JOIN adj ON u = w JOIN outd USING (u) GROUP BY f, v)")
+    steps.append("x49 AS (SELECT * FROM q49)")
+    for t in range(48, -1, -1):
+        steps.append(f"x{t} AS MATERIALIZED (SELECT f, w, sum(pr) AS pr FROM (SELECT * FROM q{t} UNION ALL SELECT f, u, 0.8 * sum(pr / d) FROM x{t + 1} JOIN adj ON v = w JOIN outd USING (u) GROUP BY f, u) GROUP BY f, w)")
+    return f"""WITH {_KG}, outd AS (SELECT u, count(*) AS d FROM adj GROUP BY u), {", ".join(steps)}
+        SELECT sid, pid, oid, round(coalesce(0.2 * pr, 0), 6) AS score FROM cand LEFT JOIN x0 ON f = oid AND w = sid"""
 
 
 _TOPPED = f"WITH {_features(None)}, top AS (SELECT rels, sum(n)::BIGINT AS n FROM feats GROUP BY rels ORDER BY n DESC, string_split(rels, ',')::INT[] LIMIT {_TOP})"
 
 
 def _pra_sql() -> str:
-    steps = ["a0 AS (SELECT DISTINCT sid, rels, sid AS w, 1.0::DOUBLE AS pr FROM cand, top)"]
-    for k in range(1, 4):
-        steps.append(f"""a{k} AS MATERIALIZED (SELECT sid, rels, w, pr FROM a{k - 1} WHERE len(string_split(rels, ',')) <= {k} UNION ALL
-            SELECT sid, rels, e.o, sum(pr / n) FROM a{k - 1} JOIN e ON e.s = w AND e.p = string_split(rels, ',')[{k + 1}]::INT JOIN outp ON outp.s = e.s AND outp.p = e.p
-            WHERE len(string_split(rels, ',')) > {k} GROUP BY sid, rels, e.o)""")
-    return f"""{_TOPPED}, outp AS (SELECT s, p, count(*) AS n FROM e GROUP BY s, p), {", ".join(steps)}
-        SELECT sid, pid, oid, rels, round(sum(pr), 8) AS value FROM cand JOIN a3 USING (sid) WHERE w = oid GROUP BY ALL"""
+    """Ends of the top paths from the objects back; r holds a path as a list."""
+    return f"""{_TOPPED}, outp AS (SELECT s, p, count(*) AS n FROM e GROUP BY s, p), step AS MATERIALIZED (SELECT s, p, o, 1.0 / n AS share FROM e JOIN outp USING (s, p)),
+        listed AS (SELECT rels, string_split(rels, ',')[2:]::INT[] AS r FROM top),
+        b1 AS MATERIALIZED (SELECT oid, s AS node, [p] AS t, share AS pr FROM step JOIN (SELECT DISTINCT oid FROM cand) ON o = oid),
+        b2 AS MATERIALIZED (SELECT oid, s AS node, [p] || t AS t, sum(pr * share) AS pr FROM b1 JOIN step ON o = node GROUP BY ALL),
+        b AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2),
+        first AS (SELECT sid, pid, oid, p, o, share, rels, r[2:] AS t FROM cand JOIN step ON s = sid JOIN listed ON r[1] = p)
+        SELECT sid, pid, b.oid, rels, round(sum(share * pr), 8) AS value FROM first JOIN b ON b.oid = first.oid AND b.node = first.o AND b.t = first.t GROUP BY sid, pid, b.oid, rels"""
 
 
 _MI = f"""WITH {_features(200)}, ny AS (SELECT class, count(*) AS ny FROM cand GROUP BY class), nn AS (SELECT count(*) AS nn FROM cand),
@@ -425,6 +427,9 @@ ORACLE_SQL = {
     "walk_features": f"WITH {_features(None)} SELECT * FROM feats",
     "walk_features_capped": f"WITH {_features(200)} SELECT * FROM feats",
     "walk_listing": f"WITH {_WALKS} SELECT sid, pid, oid, sid || ',' || n1 || ',' || oid AS nodes, '-1,' || r1 || ',' || r2 AS rels FROM l2",
+    "walk_listing_three": f"""WITH {_KG}, pairs AS (SELECT 5000000000 + n_nationkey AS sid, 2 AS pid, 6000000000 + r_regionkey AS oid FROM nation, region)
+        SELECT sid, pid, oid, sid || ',' || a.o || ',' || b.o || ',' || oid AS nodes, '-1,' || a.p || ',' || b.p || ',' || c.p AS rels
+        FROM pairs JOIN e a ON a.s = sid JOIN e c ON c.o = oid JOIN e b ON b.s = a.o AND b.o = c.s""",
     "frequent_path_types": f"{_TOPPED} SELECT rels, n FROM top",
     "rel_cooccurrence": f"WITH {_KG}{_COOC.format(e='e')} SELECT r1, r2, c FROM cooc",
     "rel_cooccurrence_directed": f"WITH {_DIRECTED}{_COOC.format(e='raw')} SELECT r1, r2, c FROM cooc",
@@ -436,8 +441,9 @@ ORACLE_SQL = {
     "closure_kl": _closure_sql(False, False),
     "closure_klrel": _closure_sql(True, False),
     "closure_ultrametric": _closure_sql(True, True),
+    "closure_paths": _closure_sql(True, False, paths=True),
     "pra_path_probability": _pra_sql(),
     "predpath_mutual_information": _MI,
-    "predpath_first_sightings": f"WITH {_features(None)} SELECT rels, arg_min(class, sid * 10000000000::HUGEINT + oid) = 1 AS positive FROM feats JOIN cand USING (sid, pid, oid) GROUP BY rels",
+    "predpath_first_sightings": f"WITH {_features(None)} SELECT rels, arg_min(class, (sid, oid)) = 1 AS positive FROM feats JOIN cand USING (sid, pid, oid) GROUP BY rels",
     "softmax_normalize": f"WITH {_SIDES}{_SIZES} SELECT sid, pid, oid, round(exp(ds * dn - max(ds * dn) OVER w) / sum(exp(ds * dn - top)) OVER w, 6) AS softmaxscore FROM (SELECT *, max(ds * dn) OVER (PARTITION BY sid) AS top FROM sized) WINDOW w AS (PARTITION BY sid)",
 }

@@ -20,7 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """s, p, o in one direction. Purchases are made distinct before they are joined further."""
+    """s, p, o in one direction, an edge as often as the tables say it; the graph makes them distinct."""
     items, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
     bought = items.select("l_orderkey", "l_partkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     parts = [
@@ -34,22 +34,35 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.distinct()
+    return every
+
+
+_KEPT: dict[tuple, KnowledgeGraph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str, symmetric: bool = True, keep: bool = True) -> KnowledgeGraph:
-    """keep writes the edges once; a plan that reads them several times then doesn't join the base tables again."""
-    return KnowledgeGraph.from_edges(raw_edges(spark, sf_dir), symmetric=symmetric, n_relations=len(RELATIONS), keep=keep)
+    """keep writes the edges, once for each session and folder: later plans read the stored graph, as a saved one."""
+    if not keep:
+        return KnowledgeGraph.from_edges(raw_edges(spark, sf_dir), symmetric=symmetric, n_relations=len(RELATIONS))
+    key = (spark.sparkContext.applicationId, sf_dir, symmetric)
+    if key not in _KEPT:
+        _KEPT[key] = KnowledgeGraph.from_edges(raw_edges(spark, sf_dir), symmetric=symmetric, n_relations=len(RELATIONS), keep=True)
+    return _KEPT[key]
 
 
-def candidates(spark: SparkSession, sf_dir: str, customers: int = 10) -> DataFrame:
-    """sid, pid, oid, class: the first customers by key, each with every nation; class 1 for their own."""
-    c = _read(spark, sf_dir, "customer").orderBy("c_custkey").limit(customers)
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sid, pid, oid, class: every customer with every nation; class 1 for their own."""
     n = _read(spark, sf_dir, "nation").select("n_nationkey")
-    pairs = c.select("c_custkey", "c_nationkey").crossJoin(F.broadcast(n))  # 25 nations at any scale
+    pairs = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").crossJoin(F.broadcast(n))  # 25 nations at any scale
     return pairs.select(node("customer", "c_custkey").alias("sid"), F.lit(0).alias("pid"), node("nation", "n_nationkey").alias("oid"), (F.col("c_nationkey") == F.col("n_nationkey")).cast("int").alias("class"))
 
 
+def region_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sid, pid, oid, class: every nation with every region."""
+    pairs = _read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").crossJoin(F.broadcast(_read(spark, sf_dir, "region").select("r_regionkey")))
+    return pairs.select(node("nation", "n_nationkey").alias("sid"), F.lit(2).alias("pid"), node("region", "r_regionkey").alias("oid"), (F.col("n_regionkey") == F.col("r_regionkey")).cast("int").alias("class"))
+
+
 def named_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sub, pred, obj by name: who lives or is located where."""
     n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")

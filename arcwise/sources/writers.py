@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rendered
 from ..graph import KnowledgeGraph
 
 
@@ -15,13 +16,16 @@ def write_dictionary(df: DataFrame, path: str) -> None:
 
 
 def write_graph(graph: KnowledgeGraph, path: str) -> None:
-    """Edges by relation, sorted by subject within files, so that lookups by p and s skip what they can; and degrees."""
-    graph.edges.repartition("p", "s").sortWithinPartitions("s", "o").write.mode("overwrite").partitionBy("p").parquet(f"{path}/edges")
+    """Edges by relation, ranges of subjects in files of their own, so that lookups by p and s skip what they can and a
+    relation has only the files that its size asks for; and degrees."""
+    graph.edges.repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o").write.mode("overwrite").partitionBy("p").parquet(f"{path}/edges")
     graph.degrees().write.mode("overwrite").parquet(f"{path}/degrees")
 
 
 def write_scores(df: DataFrame, path: str) -> None:
-    """Scores as CSV with a header; arrays and structs as JSON."""
+    """Scores as CSV with a header; arrays and structs as JSON. A path and rpath are also written out, as path_text."""
+    if {"path", "rpath"} <= set(df.columns):
+        df = df.withColumn("path_text", rendered(F.col("path"), F.col("rpath")))
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
     df.select(*[F.to_json(F.col(c)).alias(c) if c in nested else F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").option("header", True).csv(path)
 
