@@ -45,7 +45,7 @@ def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | No
         top = max(1.0, sims.agg(F.max("sim")).first()[0] or 0.0)
 
     def cost(w):
-        units = F.round(F.greatest(F.lit(0.0), 1.0 / w - 1.0) * _UNIT).cast("long")
+        units = F.floor(F.greatest(F.lit(0.0), 1.0 / w - 1.0) * _UNIT + 0.5)  # round() of doubles goes through decimals
         return units if widest else units * _HOP + 1
 
     spec = degree_weight(F.col("d"), weight)

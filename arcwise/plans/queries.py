@@ -312,21 +312,19 @@ def _features(cap: int | None) -> str:
         UNION ALL SELECT sid, pid, oid, '-1,' || r1 || ',' || r2 || ',' || r3, count(*) FROM (SELECT * FROM l3 {q3}) GROUP BY sid, pid, oid, r1, r2, r3)"""
 
 
-_ROUNDS = 8  # more than the search takes on the test tables
-
-
 def _closure_sql(relsim: bool, ultra: bool, paths: bool = False) -> str:
     """Whole billionths of cost; of each (object, node) the two least labels of unlike last edges."""
+    rounds = 24 if ultra else 8  # more than the search takes on the test tables
     spec = "1.0 / (1.0 + ln(d))"
     w = f"sim * ({spec})" if relsim else spec
     last = "sim" if relsim else spec
     hop = "" if ultra else " * 256 + 1"
-    units = "round(greatest(0, 1.0 / ({}) - 1) * 1000000000)::BIGINT" + hop
+    units = "floor(greatest(0, 1.0 / ({}) - 1) * 1000000000 + 0.5)::BIGINT" + hop
     add = "greatest(x.d, a.c)" if ultra else "x.d + a.c"
     top = "QUALIFY row_number() OVER (PARTITION BY oid, node ORDER BY min(d), tag) <= 2"
     steps = [f"""d1 AS MATERIALIZED (SELECT oid, node, tag, min(d) AS d FROM (SELECT a.o AS oid, a.s AS node, a.l AS d, CASE WHEN own.sid IS NOT NULL THEN a.s ELSE -1 END AS tag
             FROM arc a JOIN (SELECT DISTINCT oid FROM cand) g ON a.o = g.oid LEFT JOIN own ON own.sid = a.s AND own.pid = a.p AND own.oid = a.o) GROUP BY oid, node, tag {top})"""]
-    for h in range(1, _ROUNDS):
+    for h in range(1, rounds):
         steps.append(f"""d{h + 1} AS MATERIALIZED (SELECT oid, node, tag, min(d) AS d FROM (SELECT * FROM d{h} UNION ALL
             SELECT x.oid, a.s, x.tag, {add} FROM d{h} x JOIN arc a ON a.o = x.node WHERE a.s <> x.oid) GROUP BY oid, node, tag {top})""")
     sims = _COOC.format(e="e") + _SIM.format(tf=_LOG) if relsim else ""
@@ -334,18 +332,18 @@ def _closure_sql(relsim: bool, ultra: bool, paths: bool = False) -> str:
     score = "round(CASE WHEN best IS NULL THEN 0.0 ELSE 1.0 / (1.0 + best" + ("" if ultra else " // 256") + " / 1e9) END, 6) AS score"
     sql = f"""WITH {_KG}{sims}, own AS MATERIALIZED (SELECT sid, pid, oid FROM cand SEMI JOIN e ON e.s = sid AND e.p = pid AND e.o = cand.oid),
         arc AS MATERIALIZED (SELECT s, p, o, {units.format(w)} AS c, {units.format(last)} AS l FROM e JOIN deg ON node = o {join} WHERE {w} > 1 / 1.8e7),
-        {", ".join(steps)}, lab AS MATERIALIZED (SELECT oid, node, arg_min(tag, (d, tag)) AS t1, min(d) AS v1, CASE WHEN count(*) > 1 THEN max(d) END AS v2 FROM d{_ROUNDS} GROUP BY oid, node),
+        {", ".join(steps)}, lab AS MATERIALIZED (SELECT oid, node, arg_min(tag, (d, tag)) AS t1, min(d) AS v1, CASE WHEN count(*) > 1 THEN max(d) END AS v2 FROM d{rounds} GROUP BY oid, node),
         fact AS (SELECT cand.sid, cand.pid, cand.oid, CASE WHEN own.sid IS NOT NULL THEN cand.sid ELSE -2 END AS avoid FROM cand LEFT JOIN own USING (sid, pid, oid)),
         f AS MATERIALIZED (SELECT fact.*, CASE WHEN t1 = avoid THEN v2 ELSE v1 END AS best FROM fact LEFT JOIN lab ON lab.oid = fact.oid AND lab.node = fact.sid)"""
     if not paths:
         return f"{sql} SELECT sid, pid, oid, {score} FROM f"
     steps = ["p0 AS (SELECT sid, pid, oid, avoid, sid AS node, best AS need, sid::VARCHAR AS path, '-1' AS rpath FROM f WHERE best IS NOT NULL)"]
-    for k in range(_ROUNDS):
+    for k in range(rounds):
         steps.append(f"""p{k + 1} AS MATERIALIZED (SELECT * FROM p{k} WHERE node = oid UNION ALL (SELECT sid, pid, x.oid, avoid, a.o, need - CASE WHEN a.o = x.oid THEN l ELSE c END, path || ',' || a.o, rpath || ',' || a.p
             FROM p{k} x JOIN arc a ON a.s = x.node LEFT JOIN lab ON lab.oid = x.oid AND lab.node = a.o
             WHERE x.node <> x.oid AND CASE WHEN a.o = x.oid THEN l = need AND NOT (a.s = avoid AND a.p = pid) ELSE c + CASE WHEN t1 = avoid THEN v2 ELSE v1 END = need END
             QUALIFY row_number() OVER (PARTITION BY sid, pid, x.oid ORDER BY a.o, a.p) = 1))""")
-    return f"{sql}, {', '.join(steps)} SELECT sid, pid, oid, {score}, coalesce(path, oid::VARCHAR) AS path, coalesce(rpath, '-1') AS rpath FROM f LEFT JOIN (SELECT sid, pid, oid, path, rpath FROM p{_ROUNDS}) USING (sid, pid, oid)"
+    return f"{sql}, {', '.join(steps)} SELECT sid, pid, oid, {score}, coalesce(path, oid::VARCHAR) AS path, coalesce(rpath, '-1') AS rpath FROM f LEFT JOIN (SELECT sid, pid, oid, path, rpath FROM p{rounds}) USING (sid, pid, oid)"
 
 
 def _simrank_sql() -> str:

@@ -17,6 +17,7 @@ from arcwise.operators.walks import walk_counts, walks
 from arcwise.plans.learn import path_probabilities
 from arcwise.plans.methods import normalize
 
+# The toy graphs of the survey's fixtures, rows (s, o, p[, value]), and below the results that go with them.
 A = [(0, 1, 0), (0, 2, 1), (1, 2, 0), (1, 2, 1), (1, 3, 1), (2, 3, 0), (2, 1, 1), (2, 3, 1)]
 B = [(0, 1, 0), (1, 2, 0), (2, 3, 0), (0, 2, 1), (1, 2, 1), (1, 3, 1), (2, 1, 1), (2, 3, 1), (0, 1, 2), (1, 2, 2), (1, 3, 2)]
 C = [(3, 5, 0), (4, 5, 0), (5, 3, 0), (5, 4, 0), (6, 7, 0), (7, 6, 0), (3, 0, 1), (3, 1, 1), (3, 2, 1), (4, 0, 1), (4, 1, 1), (5, 0, 1), (5, 1, 1), (5, 2, 1), (6, 0, 1), (7, 0, 1), (3, 2, 2), (3, 6, 3), (3, 7, 3), (4, 6, 3), (4, 7, 3), (1, 0, 4), (2, 0, 4), (0, 3, 5), (0, 4, 5), (0, 5, 5), (0, 6, 5), (0, 7, 5), (1, 3, 5), (1, 4, 5), (1, 5, 5), (2, 3, 5), (2, 4, 5), (2, 5, 5), (2, 6, 5), (2, 7, 5)]
@@ -26,7 +27,7 @@ E = [(0, 1, 0, 16.0), (2, 4, 0, 14.0), (4, 5, 0, 4.0), (0, 2, 1, 13.0), (2, 1, 1
 
 def graph(spark, edges, symmetric=True, keep=True):
     rows = [(s, p, o, *w) for s, o, p, *w in edges]
-    schema = "s long, p int, o long" + ", w double" * (len(rows[0]) == 4)
+    schema = "s long, p int, o long" + ", w double" * (bool(rows) and len(rows[0]) == 4)
     return KnowledgeGraph.from_edges(spark.createDataFrame(rows, schema), symmetric=symmetric, keep=keep)
 
 
@@ -134,6 +135,83 @@ def test_flow(spark, edges, fact, flow, paths):
     assert sum(r.flow for r in edge_flows(out).where(F.col("u") == 0).collect()) == pytest.approx(sum(row.bottlenecks))
 
 
+def brute_flow(arcs, s, o, npaths):
+    """Residual search over a whole graph: least (cost, hops, nodes, relations) by relaxing every arc until nothing changes."""
+    cap = {(u, r, v): c for u, r, v, c, *_ in arcs}
+    cost = {(u, r, v): k for u, r, v, _, k, *_ in arcs}
+    price = {v: x for _, _, v, _, _, x in arcs}
+    out = []
+    while len(out) < npaths:
+        best, changed = {s: (0, 0, (s,), (-1,))}, True
+        while changed:
+            changed = False
+            for (u, r, v), c in cap.items():
+                if c > 0 and u in best and v not in best[u][2]:
+                    d, h, path, rels = best[u]
+                    new = (d + cost[u, r, v], h + 1, (*path, v), (*rels, r))
+                    if v not in best or new < best[v]:
+                        best[v], changed = new, True
+        if o not in best:
+            break
+        _, _, path, rels = best[o]
+        steps = list(zip(path, rels[1:], path[1:], strict=False))
+        least = min(cap[x] for x in steps)
+        out.append((list(path), list(rels), least, sum(price[v] for v in path[1:-1])))
+        for u, r, v in steps:
+            cap[u, r, v] -= least
+            cap[v, r, u], cost[v, r, u] = least, -cost[u, r, v]
+    return out
+
+
+@pytest.mark.parametrize("widths", [(2, 6), (0, 1), ()])
+def test_flow_against_brute_force(spark, widths):
+    rnd = random.Random(21)
+    edges, asked = [], []
+    for k in range(50):  # graphs side by side
+        n = rnd.randint(4, 9)
+        edges += [(10 * k + rnd.randrange(n), 10 * k + rnd.randrange(n), rnd.randrange(3)) for _ in range(rnd.randint(n, 3 * n))]
+        asked += [(10 * k, 0, 10 * k + j) for j in range(1, n, 3)]
+    g = graph(spark, edges)
+    d = {r.node: r.d for r in g.degrees().collect()}
+    rows = {(r.s, r.p, r.o) for r in g.edges.collect()}
+    got = {(r.sid, r.oid): r for r in stream(g, facts(spark, [*asked, asked[0], (None, 0, 1), (3, 0, 3), (0, 0, 9999)]), None, edges=None, widths=widths).collect()}
+    assert got[None, 1].score is None and got[3, 3].paths == [] and got[0, 9999].score == 0
+    for s, p, o in asked:
+        arcs = [(u, r, v, 1 / (1 + math.log(d[v])), round(math.log(d[v])), math.log(d[v])) for u, r, v in rows if (u, r, v) != (s, p, o)]
+        want = brute_flow(arcs, s, o, 5)
+        r = got[s, o]
+        assert r.paths == [w[0] for w in want] and r.relpaths == [w[1] for w in want]
+        assert r.bottlenecks == pytest.approx([w[2] for w in want]) and r.score == pytest.approx(sum(w[2] / (1 + w[3]) for w in want))
+        assert r.maxflow == pytest.approx(sum(a[3] for a in arcs if a[0] == s))
+
+
+@pytest.mark.parametrize("measure", [jaccard, adamic_adar, degree_product, katz, path_entropy, simrank, closure])
+def test_odd_candidates(spark, measure):
+    g = graph(spark, [(0, 0, 0), (0, 1, 0), (0, 2, 0), (1, 2, 1)])
+    c = facts(spark, [(0, 0, 1), (0, 0, 1), (None, 0, 1), (0, None, 1), (77, 0, 1), (0, 0, 77), (77, 0, 78), (1, 1, 2), (0, 0, 0)]).withColumn("score", F.lit("mine")).withColumn("s", F.lit("kept"))
+    options = {"steps": 3} if measure is simrank else {}
+    rows = measure(g, c, **options).collect()
+    assert len(rows) == 9 and all(r.s == "kept" for r in rows)
+    got = {}
+    for r in rows:
+        assert got.setdefault((r.sid, r.pid, r.oid), r.score) == r.score
+    assert got[None, 0, 1] is None and got[0, None, 1] is None and got[77, 0, 1] == 0 and got[77, 0, 78] in (0, None) and got[0, 0, 1] is not None
+    assert measure(g, c.limit(0), **options).count() == 0
+    assert all(r.score in (0, None) or r.sid == r.oid for r in measure(graph(spark, []), c, **options).collect())
+
+
+@pytest.mark.parametrize("fact", [(0, 1, 3), (0, 5, 3), (3, 0, 5), (5, 1, 2), (0, 4, 1), (0, 0, 0)])
+def test_walks_without_the_own_edge(spark, gc, fact):
+    loops = graph(spark, [*C, (0, 0, 0), (0, 0, 1)])
+    for g in (gc, loops):
+        rows = [(r.s, r.p, r.o) for r in g.edges.collect() if (r.s, r.p, r.o) != fact]
+        s, _, o = fact
+        w2 = sum(1 for a in rows if a[0] == s for b in rows if a[2] == b[0] and b[2] == o)
+        w3 = sum(1 for a in rows if a[0] == s for b in rows if a[2] == b[0] for c in rows if b[2] == c[0] and c[2] == o)
+        row = walk_counts(g, facts(spark, [fact]), "effective").first()
+        assert (row.w2, row.w3) == (w2, w3)
+
+
 def best_paths(edges, fact, degree):
     """Brute force over simple paths: the closure's score and the best paths."""
     s, p, o = fact

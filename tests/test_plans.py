@@ -1,14 +1,17 @@
 """Learners, files, command line, stream, and the queries' contract."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from arcwise.operators.relations import cooccurrence
 from arcwise.plans import cli, queries
 from arcwise.plans.learn import PathModel, mutual_information, predict, train_predpath
 from arcwise.plans.methods import score
-from arcwise.sources.readers import read_candidates, read_dictionary, read_graph, read_triples
-from arcwise.sources.writers import write_dictionary, write_scores
+from arcwise.sources.readers import read_candidates, read_dictionary, read_graph, read_matrix, read_triples
+from arcwise.sources.writers import write_dictionary, write_graph, write_matrix, write_scores
 from arcwise.streaming.candidates import score_stream
 from tests.test_graph import C, facts, graph
 
@@ -75,7 +78,7 @@ def test_every_query_has_its_columns_in_sql():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["lp_jaccard", "lp_katz", "walk_features_capped", "rel_similarity_logtf", "closure_kl", "pra_path_probability"])
+@pytest.mark.parametrize("name", ["lp_jaccard", "lp_katz", "walk_features_capped", "rel_similarity_logtf", "lp_jaccard_effective", "lp_katz_effective", "closure_paths", "walk_listing_three", "pra_path_probability"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
@@ -87,29 +90,42 @@ def test_queries_against_sql(spark, name):
     assert sorted(got) == sorted(want)
 
 
-def test_unbounded_queries_follow_long_paths(spark, monkeypatch):
+def test_closures_follow_long_paths(spark, monkeypatch):
     chain = graph(spark, [(k, k + 1, 0) for k in range(6)])
     monkeypatch.setattr(queries, "_setup", lambda *_: (chain, facts(spark, [(0, 0, 6)])))
-    assert [r.score for r in queries.closure_kl(spark, SF).collect()] == [0]
-    assert [r.score > 0 for r in queries.closure_kl_unbounded(spark, SF).collect()] == [True]
-
-
-def test_whole_steps_and_paths(monkeypatch):
-    asked = {}
-    monkeypatch.setattr(queries, "_setup", lambda *_: (None, None))
-    monkeypatch.setattr(queries, "_relsim", lambda *_: None)
-    monkeypatch.setattr(queries, "_scores", lambda x: x)
-    monkeypatch.setattr(queries, "edge_flows", lambda x: x)
-    for name in ("simrank", "stream", "closure"):
-        monkeypatch.setattr(queries, name, lambda *_, name=name, **options: asked.update({name: options}))
-    for name in ("lp_simrank_unbounded", "flow_edges", "closure_ultrametric_unbounded"):
-        queries.QUERIES[name](None, SF)
-    assert asked == {"simrank": {}, "stream": {}, "closure": {"kind": "ultrametric"}}
+    assert [r.score > 0 for r in queries.closure_kl(spark, SF).collect()] == [True]
+
+
+def test_command_line_scores_by_a_model_and_stored_tables(spark, tmp_path):
+    write_graph(graph(spark, C), str(tmp_path / "g"))
+    rows = "".join(f"{s},0,{o},{(s + o) % 2}\n" for s in range(8) for o in range(8) if s != o)
+    (tmp_path / "c.csv").write_text("sid,pid,oid,class\n" + rows)
+    g, c, out = (str(tmp_path / x) for x in ("g", "c.csv", "o"))
+    write_matrix(cooccurrence(read_graph(spark, g)).select("r1", "r2", F.col("c").cast("double").alias("value")), str(tmp_path / "cooc"))
+    assert cli.main(["relsim", "-g", g, "--cooc", str(tmp_path / "cooc"), "-o", str(tmp_path / "r")], spark) == 0
+    sims = {(r.r1, r.r2): r.value for r in read_matrix(spark, str(tmp_path / "r/relsim")).collect()}
+    assert sims[0, 1] == pytest.approx(0.522735, abs=1e-6)
+    assert cli.main(["-m", "stream", "-g", g, "-r", str(tmp_path / "r/relsim"), "-d", c, "-o", out], spark) == 0
+    assert spark.read.json(f"{out}/flows").where("size(paths) = size(flows) and size(paths) > 0").count() == 56
+    assert cli.main(["-m", "relklinker", "-g", g, "-r", str(tmp_path / "r/relsim"), "-d", c, "-o", out], spark) == 0
+    text = [r.path_text for r in spark.read.option("header", True).csv(f"{out}/scores").collect()]
+    assert all(re.fullmatch(r"\d( -\[\d\]-> \d)+", t) for t in text)
+    PathModel("pra", [[-1, 1, 1]], train_predpath(graph(spark, C), read_candidates(spark, c), top=1, folds=2).model, 1.0, 0.5).save(spark, str(tmp_path / "m"))
+    assert cli.main(["-m", "pra", "--model", str(tmp_path / "m"), "-g", g, "-d", c, "-o", out], spark) == 0
+    assert spark.read.option("header", True).csv(f"{out}/scores").where("softmaxscore > 0").count() == 56
+
+
+def test_training_without_the_predicates_edges(spark):
+    rows = [(s, 0, o, int((s + o) % 2)) for s in range(8) for o in range(8) if s != o]
+    c = spark.createDataFrame([*rows, (None, 0, 1, 1), (1, 0, 2, None)], "sid long, pid int, oid long, class int")
+    assert all(0 not in p for p in train_predpath(graph(spark, C), c, folds=2, removal="effective").paths)
+    with pytest.raises(ValueError):
+        train_predpath(graph(spark, []), c, folds=2)
 
 
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 250
+    assert __spark_entry__.entry(spark).count() == 150 * 25
     sums = __spark_entry__.entry(spark).groupBy("sid").agg(F.sum("softmaxscore").alias("s")).collect()
     assert all(r.s == pytest.approx(1, abs=1e-4) for r in sums)
