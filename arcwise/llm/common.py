@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where unset, a temporary one."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        own = tempfile.mkdtemp(prefix="arcwise-")
-        atexit.register(shutil.rmtree, own, True)
-        spark.sparkContext.setCheckpointDir(f"file://{own}")
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arcwise/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["blocks_join", "hash60", "new_path", "partitions", "shared_dir", "small_batches", "stored", "text_of"]
 
 
 def text_of(df: DataFrame, *columns: str) -> DataFrame:
@@ -58,11 +33,18 @@ def hash60(column: Column) -> Column:
     return F.conv(F.substring(F.md5(column.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Has Arrow batches hold `rows` rows at most: with long texts the default of 10,000 fills Python and the JVM's buffers."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Has the Arrow batches of what runs within hold `rows` rows at most: with long texts the default of 10,000 fills
+    Python and the JVM's buffers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,28 +1,34 @@
 """Benchmark decontamination by spaced-seed hashing, DataFrame functions only.
 
-Texts become lower-case tokens of letters and digits. Fixed masks over ten positions ignore some of them; the hashes
-of what is left are joined between benchmark items and documents, so a few substituted tokens don't hide a passage.
+Texts become lower-case tokens of letters and digits. Fixed masks over a span of positions ignore some of them; the
+hashes of what is left are joined between benchmark items and documents, so substituted tokens don't hide a passage.
 Around each hit the item is laid over the document at the hit's offset, and the best stretch is scored: +1 a matching
-token, -2 a substituted one. A document holds an item if that score reaches min(12, 0.7 of the item's tokens).
+token, -2 a substituted one. A document holds an item if that score reaches min(12, 0.7 of the item's tokens, rounded up).
 
-Nulls: a null text counts as empty and has no overlap. Items under `min_tokens` tokens are left out, as they would
-match ordinary prose; items shorter than the masks are looked up whole. Repeated rows are judged each. An empty table
-or benchmark gives no overlaps. Other columns are ignored, whatever their names.
+Items of `SHORT` tokens and more have the masks `MASKS`. A shorter item has one seed without gaps, as long as the run of
+matches that every overlap of such an item must hold to reach its score (`core`), so none is missed. Items under
+`min_tokens` tokens would match ordinary prose: a document holds one only if it has the same tokens and no others.
+
+Nulls: a null text counts as empty and has no overlap; items without tokens are left out. Repeated rows, and rows that
+share a doc_id, are judged each by their own text. An empty table or benchmark gives no overlaps. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
 #: 1 counts, 0 is ignored.
 MASKS = ("1101101101", "1110011011", "1011110101")
 SPAN = 10
-PIECE = 512
+PIECE, LONGEST = 512, 512
+SHORT = 14
 
 
 def tokens(text: Column) -> Column:
@@ -31,6 +37,24 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def needed(length: int) -> int:
+    """The score that an item of so many tokens must reach."""
+    return min(12, -(-length * 7 // 10))
+
+
+def core(length: int) -> int:
+    """The longest run of matches that every overlap of an item of `length` tokens that reaches its score has at least."""
+    least = length
+    for bits in product((1, -2), repeat=length):
+        run = best = 0
+        for b in bits:
+            run = max(0, run + b)
+            best = max(best, run)
+        if best >= needed(length):
+            least = min(least, max(map(len, "".join("x" if b > 0 else " " for b in bits).split())))
+    return least
+
+
 def _seed(mask: str, number: int) -> Column:
     at = [F.get("toks", F.col("pos") + k) for k, bit in enumerate(mask) if bit == "1"]
     return F.xxhash64(F.lit(number), *at)
@@ -41,39 +65,45 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 5, broadca
 
     Seeds of the benchmark are broadcast if they are `broadcast_seeds` at most (counted first), else joined by a shuffle.
     """
-    items = text_of(benchmark, "item_id", "text").select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") >= min_tokens)
-    lengths = sorted(r[0] for r in items.where(F.size("toks") < SPAN).select(F.size("toks")).distinct().collect())  # under SPAN values
-    masks = [(m, n) for n, m in enumerate(MASKS)] + [("1" * n, 100 + n) for n in lengths]
-
-    longest = items.agg(F.max(F.size("toks"))).first()[0] or 0
+    return found_overlaps(docs, benchmark, min_tokens, broadcast_seeds).drop("digest")
+
+
+def found_overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 5, broadcast_seeds: int = 200_000) -> DataFrame:
+    """overlaps with the digest of the document's text: a row for each doc_id, text and item."""
+    items = text_of(benchmark, "item_id", "text").select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
+    items = stored(items, "items")
+    lengths = sorted(r[0] for r in items.where(F.size("toks").between(min_tokens, SHORT - 1)).select(F.size("toks")).distinct().collect())  # under SHORT values
+    cores: dict[int, list[int]] = {}
+    for n in lengths:
+        cores.setdefault(core(n), []).append(n)
+    masks = [(m, k, F.size("toks") >= SHORT) for k, m in enumerate(MASKS)] + [("1" * n, 100 + n, F.size("toks").isin(of)) for n, of in cores.items()]
     parts = []
-    for mask, number in masks:
-        n = len(mask)
-        part = items.where(F.size("toks") == n if n < SPAN else F.size("toks") >= n)
-        part = part.select("item_id", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - n)).alias("pos"))
-        parts.append(part.select("item_id", F.col("toks").alias("item"), F.col("pos").alias("ipos"), _seed(mask, number).alias("seed")))
+    for mask, k, takes in masks:
+        part = items.where(takes).select("item_id", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - len(mask))).alias("pos"))
+        parts.append(part.select("item_id", F.col("toks").alias("item"), F.col("pos").alias("ipos"), _seed(mask, k).alias("seed")))
     item_seeds = reduce(DataFrame.unionByName, parts)
-    small = longest <= PIECE and item_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
+    longest = items.agg(F.max(F.size("toks"))).first()[0] or 0
+    small = longest <= LONGEST and item_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
 
     # Documents go in pieces of PIECE tokens with what an item may need on either side: a row stays small, however long the text.
-    side = max(SPAN, longest) if small else SPAN
-    keyed = text_of(docs, "doc_id", "text").select("doc_id", tokens(F.col("text")).alias("all"))
+    side = max(SHORT, longest) if small else SHORT
+    keyed = text_of(docs, "doc_id", "text").select("doc_id", F.md5("text").alias("digest"), tokens(F.col("text")).alias("all"))
     cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE)), lambda i: F.struct(i.alias("at"), F.greatest(F.lit(0), i - side).alias("from"), F.slice("all", F.greatest(F.lit(0), i - side) + 1, F.least(i, F.lit(side)) + PIECE + side).alias("toks")))
-    pieces = keyed.where(F.size("all") > 0).select("doc_id", F.explode(cut).alias("c")).select("doc_id", F.col("c.at").alias("at"), F.col("c.from").alias("from"), F.col("c.toks").alias("toks"))
+    pieces = keyed.where(F.size("all") > 0).select("doc_id", "digest", F.explode(cut).alias("c")).select("doc_id", "digest", F.col("c.at").alias("at"), F.col("c.from").alias("from"), F.col("c.toks").alias("toks"))
     here = F.col("at") - F.col("from")
-    walked = pieces.select("doc_id", "from", "toks", F.explode(F.sequence(here, F.least(here + PIECE, F.size("toks")) - 1)).alias("pos"))
-    each = F.array(*[F.when(F.col("pos") + len(m) <= F.size("toks"), _seed(m, n)) for m, n in masks])
-    doc_seeds = walked.select("doc_id", "from", "toks", "pos", F.explode(each).alias("seed"))
+    walked = pieces.select("doc_id", "digest", "from", "toks", F.explode(F.sequence(here, F.least(here + PIECE, F.size("toks")) - 1)).alias("pos"))
+    each = F.array(*[F.when(F.col("pos") + len(m) <= F.size("toks"), _seed(m, k)) for m, k, _ in masks])
     if small:
-        hits = doc_seeds.join(F.broadcast(item_seeds), "seed")
+        hits = walked.select("doc_id", "digest", "from", "toks", "pos", F.explode(each).alias("seed")).join(F.broadcast(item_seeds), "seed")
     else:  # positions travel without the tokens, and only documents with hits bring theirs
-        found = doc_seeds.select("doc_id", (F.col("from") + F.col("pos")).alias("at"), "seed").join(item_seeds, "seed")
-        found = found.select("doc_id", "item_id", "item", (F.col("at") - F.col("ipos")).alias("offset")).distinct()
-        hits = found.join(keyed, found["doc_id"].eqNullSafe(keyed["doc_id"])).select(found["doc_id"], "item_id", "item", F.lit(0).alias("from"), F.col("offset").alias("pos"), F.lit(0).alias("ipos"), F.col("all").alias("toks"))
+        found = walked.select("doc_id", "digest", (F.col("from") + F.col("pos")).alias("at"), F.explode(each).alias("seed")).join(item_seeds, "seed")
+        found = found.select("doc_id", "digest", "item_id", "item", (F.col("at") - F.col("ipos")).alias("offset")).distinct()
+        hits = found.join(keyed.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "all"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
+        hits = hits.select("doc_id", "digest", "item_id", "item", F.lit(0).alias("from"), F.col("offset").alias("pos"), F.lit(0).alias("ipos"), F.col("all").alias("toks"))
     # The item laid over the document: element k of the item against element offset + k of the document.
     first = F.greatest(F.lit(0), F.col("ipos") - F.col("pos"))
     start = F.greatest(F.lit(0), F.col("pos") - F.col("ipos"))
-    laid = hits.select("doc_id", "item_id", F.size("item").alias("item_tokens"), (F.col("from") + F.col("pos") - F.col("ipos")).alias("doc_pos"), F.slice("item", first + 1, F.size("item")).alias("a"), F.slice("toks", start + 1, F.size("item") - first).alias("b"))
+    laid = hits.select("doc_id", "digest", "item_id", F.size("item").alias("item_tokens"), (F.col("from") + F.col("pos") - F.col("ipos")).alias("doc_pos"), F.slice("item", first + 1, F.size("item")).alias("a"), F.slice("toks", start + 1, F.size("item") - first).alias("b"))
     equal = F.zip_with("a", "b", lambda x, y: F.when(x == y, F.lit(1)).otherwise(F.lit(-2)))
     zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("matched"), F.lit(0).alias("top"))
 
@@ -83,15 +113,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 5, broadca
         better = run > s["best"]
         return F.struct(run.alias("run"), F.when(better, run).otherwise(s["best"]).alias("best"), matched.alias("matched"), F.when(better, matched).otherwise(s["top"]).alias("top"))
 
-    scored = laid.select("doc_id", "item_id", "item_tokens", "doc_pos", F.aggregate(equal, zero, stretch).alias("s"))
-    need = F.least(F.lit(12), F.ceil(F.col("item_tokens") * 0.7))
-    scored = scored.where(F.col("s.best") >= need)
-    best = F.max(F.struct(F.col("s.best").alias("score"), (-F.col("doc_pos")).alias("back"), F.col("s.top").alias("matched"), "item_tokens")).alias("m")
-    best = scored.groupBy("doc_id", "item_id").agg(best)
-    return best.select("doc_id", "item_id", F.col("m.score").alias("score"), F.col("m.matched").alias("matched"), F.col("m.item_tokens").alias("item_tokens"), (-F.col("m.back")).alias("doc_pos"))
+    scored = laid.select("doc_id", "digest", "item_id", "item_tokens", "doc_pos", F.aggregate(equal, zero, stretch).alias("s"))
+    need = F.least(F.lit(12), F.floor((F.col("item_tokens") * 7 + 9) / 10))
+    scored = scored.where(F.col("s.best") >= need).select("doc_id", "digest", "item_id", "item_tokens", "doc_pos", "s.best", "s.top")
+    # Items too short for seeds.
+    tiny = items.where(F.size("toks") < min_tokens).select("item_id", F.col("toks").alias("all"))
+    same = keyed.where(F.size("all") < min_tokens).join(tiny, "all").select("doc_id", "digest", "item_id", F.size("all").alias("item_tokens"), F.lit(0).alias("doc_pos"), F.size("all").alias("best"), F.size("all").alias("top"))
+    scored = scored.unionByName(same)
+    best = F.max(F.struct(F.col("best").alias("score"), (-F.col("doc_pos")).alias("back"), F.col("top").alias("matched"), "item_tokens")).alias("m")
+    best = scored.groupBy("doc_id", "digest", "item_id").agg(best)
+    return best.select("doc_id", "digest", "item_id", F.col("m.score").alias("score"), F.col("m.matched").alias("matched"), F.col("m.item_tokens").alias("item_tokens"), (-F.col("m.back")).alias("doc_pos"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a benchmark item; all columns stay. A null doc_id is a document of its own id."""
-    bad = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_aw_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_aw_bad"]), "left_anti")
+    """docs without those that hold a benchmark item; all columns stay. A row goes by its own doc_id and text, so another
+    row of the same doc_id, or one without any, stays unless its text holds an item too."""
+    bad = found_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_aw_bad"), F.col("digest").alias("_aw_text")).distinct()
+    own = F.md5(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_aw_bad"]) & (own == bad["_aw_text"]), "left_anti")

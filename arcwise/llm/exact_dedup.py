@@ -152,18 +152,3 @@ def exact_dedup(docs: DataFrame, keep: str = "max", digest_bytes: int = 32, memt
         kept = odd.groupBy("text").agg((F.max("doc_id") if keep == "max" else F.min("doc_id")).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         out = out.unionByName(odd.join(kept, "text").select("doc_id", "keep_id", "group_size", F.unhex(F.sha2("text", 256)).alias("sha")))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-
-
-class DedupIndex:
-    """The same index held over batches: each batch adds runs; its filters spare reading runs that can't hold a digest."""
-
-    def __init__(self, keep: str = "min", **options):
-        self.keep, self.options, self.log = keep, options, None
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Dedups docs against all batches so far and itself; returns exact_dedup's columns for the new rows."""
-        new = text_of(docs, "doc_id", "text")
-        new = stored(new, "batch")
-        self.log = new if self.log is None else self.log.unionByName(new)
-        every = exact_dedup(self.log, self.keep, **self.options)
-        return every.join(new.select("doc_id").distinct(), "doc_id", "left_semi")

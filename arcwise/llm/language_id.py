@@ -104,7 +104,7 @@ def _em(p: np.ndarray, n: np.ndarray, steps: int = 40, tolerance: float = 1e-4)
     return w, float(n @ np.log(w @ p))
 
 
-def mixture(gram: np.ndarray, model: dict, penalty: float = 2.0, most: int = 8) -> tuple[list[tuple[str, float]], float]:
+def mixture(gram: np.ndarray, model: dict, penalty: float = 2.0) -> tuple[list[tuple[str, float]], float]:
     """[(language, proportion)], largest first, of one document's trigrams, and the log-likelihood."""
     if len(gram) < 8192:
         used, n = np.unique(gram, return_counts=True)
@@ -122,12 +122,14 @@ def mixture(gram: np.ndarray, model: dict, penalty: float = 2.0, most: int = 8)
     best = ([(names[single], 1.0)], _em(p[[single]], n)[1])
     # No mixture gains more than taking each trigram's best language: then nothing else can pay.
     if len(names) > 1 and -best[1] > cost:
-        w, full = _em(p, n)
-        if full - best[1] > cost:
-            order = np.argsort(-w, kind="stable")
+        full, top_like = _em(p, n)
+        if top_like - best[1] > cost:
+            order = np.argsort(-full, kind="stable")
             score = best[1]
-            for k in range(2, min(most, len(names)) + 1):
+            for k in range(2, len(names) + 1):
                 chosen = order[:k]
+                if full[order[k - 1]] < 1e-6 or top_like - (k - 1) * cost <= score:
+                    break  # a language without a share, or sets that cost more than any can gain
                 w, like = _em(p[chosen], n)
                 if like - (k - 1) * cost > score:
                     score = like - (k - 1) * cost

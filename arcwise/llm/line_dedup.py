@@ -12,9 +12,12 @@ With `alone`, each line of that many words, or five times as many characters (fo
 fingerprint by itself: any that stands earlier goes, in documents of one line too. With window 1 every gram is one.
 `whole_lines` takes both, so nothing is left of a run of two lines, or of one long line, that stands earlier.
 
+Lines are compared by 60 bits and grams by 64 more, of another hash. A document is known by 128 bits of its doc_id and text.
+
 Nulls: a null text counts as empty, one empty line; a null doc_id comes first. Rows equal in doc_id and text are one
 document, deleted from alike. Very common lines or copies in thousands of documents meet one row, never each other.
-An empty table gives an empty result. Other columns aren't read here.
+An empty table gives an empty result. Other columns aren't
+read here, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ GRAM, WINDOW = 2, 2
 ALONE = 20
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("\n"), text)))
 
 
 def _long(line: Column, alone: int) -> Column:
@@ -37,10 +40,10 @@ def _long(line: Column, alone: int) -> Column:
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, alone: int | None = None) -> DataFrame:
-    """row (hash of doc_id and text), lo, hi: ranges of line numbers, both ends included, that repeat earlier lines; they may overlap."""
+    """row (128 bits of doc_id and text), lo, hi: ranges of line numbers, both ends included, that repeat earlier lines; they may overlap."""
     split = F.split("text", "\n")
     singles = F.filter(F.transform(split, lambda x, i: F.when(_long(x, alone), i)), lambda i: i.isNotNull()) if alone else F.array().cast("array<int>")
-    base = text_of(docs, "doc_id", "text").select("doc_id", _key().alias("row"), F.transform(split, hash60).alias("lines"), singles.alias("singles"))
+    base = text_of(docs, "doc_id", "text").select("doc_id", split.alias("said"), _key(F.col("doc_id"), F.col("text")).alias("row"), F.transform(split, hash60).alias("lines"), singles.alias("singles"))
     base = base.where((F.size("lines") >= gram) | (F.size("singles") > 0)).withColumn("last", F.size("lines") - gram)
     starts = F.when(F.col("last") >= 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("last")))).otherwise(F.array().cast("array<int>"))
     grams = F.transform(starts, lambda i: hash60(F.array_join(F.transform(F.slice("lines", i + 1, gram), lambda h: h.cast("string")), ",")))
@@ -49,16 +52,17 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, alone
     found = F.transform(F.when(F.col("last") >= 0, F.array_distinct(least)).otherwise(F.array()), lambda p: F.struct(p["fp"].alias("fp"), p["back"].alias("back"), F.lit(False).alias("single")))
     if alone:  # fingerprints of grams aren't negative
         found = F.concat(found, F.transform("singles", lambda i: F.struct((-1 - F.get("lines", i)).alias("fp"), (-i).alias("back"), F.lit(True).alias("single"))))
-    picks = base.select("doc_id", "row", "lines", F.explode(found).alias("p"))
+    picks = base.select("doc_id", "row", "lines", "said", F.explode(found).alias("p"))
     pos, none = -F.col("p.back"), F.array().cast("array<bigint>")
     picks = picks.select(
         "doc_id", "row", F.col("p.fp").alias("fp"), pos.alias("pos"),
+        F.xxhash64(F.array_join(F.slice("said", pos + 1, F.when(F.col("p.single"), 1).otherwise(gram)), "\n")).alias("check"),
         F.when(F.col("p.single"), none).otherwise(F.reverse(F.slice("lines", F.greatest(F.lit(1), pos - window + 2), F.least(pos, F.lit(window - 1))))).alias("left"),
         F.when(F.col("p.single"), none).otherwise(F.slice("lines", pos + gram + 1, window - 1)).alias("right"),
     )
-    first = picks.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "pos", "left", "right")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = picks.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "pos", "left", "right", "check")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = blocks_join(picks, first, "fp", F.struct("row", "pos")).where(F.col("f").isNotNull())
-    met = met.where(~((F.col("row") == F.col("f.row")) & (F.col("pos") == F.col("f.pos"))))
+    met = met.where((F.col("check") == F.col("f.check")) & ~((F.col("row") == F.col("f.row")) & (F.col("pos") == F.col("f.pos"))))
 
     def reach(a: str, b: str) -> Column:
         same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -79,17 +83,21 @@ def line_dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, counts:
     by = Window.partitionBy("row").orderBy("lo", "hi")
     seen = F.coalesce(F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     kept = runs.withColumn("a", seen + 1)  # kept lines before this run: a to lo - 1
-    kept = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("lo") > F.col("a"), F.struct("a", (F.col("lo") - F.col("a")).alias("n"))))).alias("_aw_keep"), (F.max("hi") + 1).alias("_aw_tail")).withColumnRenamed("row", "_aw_row")
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("_aw_row", F.xxhash64("doc_id", text)).join(kept, "_aw_row", "left")
+    kept = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("lo") > F.col("a"), F.struct("a", (F.col("lo") - F.col("a")).alias("n"))))).alias("keep"), (F.max("hi") + 1).alias("tail"))
+    # The columns go by their places, so no name of theirs can clash with ours.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    doc_id, mine = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    text = F.coalesce(mine, F.lit(""))
+    joined = own.withColumn("row", _key(doc_id, text)).join(kept, "row", "left")
     lines = F.split(text, "\n")
-    parts = F.flatten(F.transform("_aw_keep", lambda s: F.slice(lines, s["a"] + 1, s["n"])))
-    left = F.concat(parts, F.slice(lines, F.col("_aw_tail") + 1, F.size(lines)))
-    out = joined.withColumn("_aw_left", F.when(F.col("_aw_tail").isNotNull() & F.col("text").isNotNull(), left))
-    new = F.when(F.col("_aw_left").isNull(), F.col("text")).otherwise(F.array_join("_aw_left", "\n"))
-    columns = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    parts = F.flatten(F.transform("keep", lambda s: F.slice(lines, s["a"] + 1, s["n"])))
+    left = F.concat(parts, F.slice(lines, F.col("tail") + 1, F.size(lines)))
+    out = joined.withColumn("left", F.when(F.col("tail").isNotNull() & mine.isNotNull(), left))
+    new = F.when(F.col("left").isNull(), mine).otherwise(F.array_join("left", "\n"))
+    columns = [new.alias("text") if c == "text" else F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
     if counts:
-        columns += [F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(lines) - F.size("_aw_left"), F.lit(0)).cast("long").alias("n_removed")]
+        columns += [F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(lines) - F.size("left"), F.lit(0)).cast("long").alias("n_removed")]
     return out.select(*columns)
 
 

@@ -250,7 +250,11 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> Data
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size, kept (doc_id is class_id) for every row."""
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _classes(docs, similarity, rounds)
+
+
+def _classes(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
     rows = text_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The MD5 of its words stands for a text.
     made = stored(rows.mapInArrow(_sketcher(), "doc_id long, id binary, bands array<long>"), "sketches")

@@ -82,9 +82,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind in KINDS for a, b in _FINDERS[kind](text)]
 
 
-# Look-alikes of ASCII letters in Cyrillic and Greek.
-_LOOKS = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "aeopcyxijshdqwABEKMHOPCTXIJSABEZHIKMNOPTYXovp", strict=True))
-_ODD = re.compile("[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‏‐-―․⁠。﹒﻿！-～｡\U0001d7ce-\U0001d7ff]")
+# Look-alikes of ASCII letters and digits in Cyrillic, Greek and Armenian. Forms that Unicode itself calls
+# compatible with one ASCII character (full-width, small, mathematical, circled, letter-like) go by its tables.
+_LOOKS = dict(zip("аеорсухіјѕһԁԛԝгкмптвнАВЕКМНОРСТХІЈЅУΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρικυαցհոսօ", "aeopcyxijshdqwrkmntbhABEKMHOPCTXIJSYABEZHIKMNOPTYXovpikuaghnuo", strict=True))
+_ODD = re.compile("[­Ͱ-ϿЀ-ԯԱ-֏٠-٩۰-۹०-९​-‏‐-―․⁠℀-⅏Ⓐ-ⓩ。﹐-﹫﻿！-～｡\U0001d400-\U0001d7ff]")
 _GONE = frozenset("­​‌‍‎‏⁠﻿")
 _AS = {"。": ".", "｡": ".", "․": ".", "﹒": "."} | {chr(c): "-" for c in range(0x2010, 0x2016)}
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I)
@@ -94,10 +95,16 @@ _PLAIN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9_%+-]+(?:(?: dot |\.)[A-Za-z0-9_%+
 #: What _AT and _DOT need; _PLAIN and _SPELLED_DOT need "dot".
 _CLOAK = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
 _SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z]{2,})", re.I)
-_DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NAMES = "|".join(_DIGITS)
-_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[ -]+)?(?:(?:{_NAMES}|[0-9]+|oh)(?:[ .-]+(?:point |dot )?|(?![A-Za-z]))){{4,}}", re.I | re.A)
-_NAME = re.compile(rf"({_NAMES})|(oh)|(plus[ -]+)|( *(?:point|dot) *)", re.I | re.A)
+#: Digits and plus in English, German, French and Spanish.
+_SPELLED = (
+    "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+_DIGITS = {name: str(k) for names in _SPELLED for k, name in enumerate(names.split())} | {"zwo": "2", "fuenf": "5"}
+_NAMES = "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w)))
+_SOME = re.compile(rf"(?<![a-z])(?:{_NAMES})(?![a-z])")
+_RUN = re.compile(rf"(?<![A-Za-z])(?:(?:plus|más|mas)[ -]+)?(?:(?:{_NAMES}|[0-9]+|oh)(?:[ .-]+(?:point |dot |punkt |punto )?|(?![A-Za-z]))){{4,}}", re.I | re.A)
+_NAME = re.compile(rf"({_NAMES})|(oh)|((?:plus|más|mas)[ -]+)|( *(?:point|dot|punkt|punto) *)", re.I | re.A)
 
 
 class Traced:
@@ -126,11 +133,9 @@ def _glyphs(text: str):
         c = m[0]
         if c in _GONE:
             new = ""
-        elif "！" <= c <= "～":
-            new = chr(ord(c) - 0xFEE0)
         else:
-            digit = unicodedata.decimal(c, None)
-            new = str(digit) if digit is not None else _LOOKS.get(c) or _AS.get(c)
+            digit, plain = unicodedata.decimal(c, None), unicodedata.normalize("NFKC", c)
+            new = str(digit) if digit is not None else _LOOKS.get(c) or _AS.get(c) or (plain if len(plain) == 1 and plain.isascii() else None)
         if new is not None:
             yield m.start(), m.end(), new
 
@@ -171,7 +176,7 @@ def deobfuscated(text: str) -> Traced | None:
     if "dot" in low or _CLOAK.search(out.text):
         out = out.rewrite(_disguises(out.text))
         low = out.text.lower()
-    if sum(low.count(w) for w in _DIGITS) >= 2:  # _spelled rewrites no run with fewer
+    if len(_SOME.findall(low)) >= 2:  # _spelled rewrites no run with fewer
         out = out.rewrite(_spelled(out.text))
     return out if out.text != text else None
 

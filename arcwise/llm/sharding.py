@@ -2,7 +2,7 @@
 
 Rows are ordered by (MD5 of the text, doc_id), so equal texts lie together. A size-weighted sample of keys gives
 quantile boundaries; records are range-partitioned by them, and a text that fills whole ranges is subdivided by
-doc_id. Exact byte and row counts of each range then place every record on one global line, which is cut into shards
+doc_id; ranges that still hold over twice the mean are sampled anew and subdivided. Exact byte and row counts of each range then place every record on one global line, which is cut into shards
 of near equal bytes. A cut falls on the edge of a group of equal texts unless the group is over 1/64 of a shard.
 
 Law `bytes`: shard sizes differ from the mean by 1/64 of a shard or one record at most, whichever is larger. The
@@ -14,14 +14,29 @@ equal in both have places of their own. An empty table gives an empty result. Ot
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stored, text_of
 
 BUCKETS = 4096  # of three hexadecimal digits
+ROUNDS = 4  # of subdivision
+
+
+def _ranged(keys: DataFrame, cuts: list, low) -> DataFrame:
+    # Range of a key: a small table has, by the key's first digits, the cuts that start alike and how many lie before.
+    by: dict[str, list] = {}
+    for cut in cuts:
+        by.setdefault(cut[0][:3], []).append(cut)
+    table, before = [], 0
+    for head in (f"{b:03x}" for b in range(BUCKETS)):
+        table.append((head, before, by.get(head, [])))
+        before += len(by.get(head, []))
+    lookup = keys.sparkSession.createDataFrame(table, "head string, before int, cuts array<struct<k:string,d:bigint>>").coalesce(1)
+    # 4096 rows and at most `ranges` cuts: a fixed size
+    placed = keys.withColumn("head", F.substring("key", 1, 3)).join(F.broadcast(lookup), "head")
+    at = F.struct(F.col("key").alias("k"), low.alias("d"))
+    return placed.select("doc_id", "size", "text_crc32", "key", (F.col("before") + F.size(F.filter("cuts", lambda c: c <= at))).alias("range"))
 
 
 def sampled_shards(docs: DataFrame, shards: int = 8, ranges: int | None = None, per_range: int = 16, tolerance: int = 64) -> DataFrame:
@@ -41,21 +56,39 @@ def sampled_shards(docs: DataFrame, shards: int = 8, ranges: int | None = None,
     hot = sorted({a[0] for a, b in zip(cuts, cuts[1:], strict=False) if a[0] == b[0]})
     cuts = sorted({(k, d if k in set(hot) else -(1 << 63)) for k, d in cuts})
 
-    # Range of a key: a small table has, by the key's first digits, the cuts that start alike and how many lie before.
-    by: dict[str, list] = {}
-    for cut in cuts:
-        by.setdefault(cut[0][:3], []).append(cut)
-    table, before = [], 0
-    for head in (f"{b:03x}" for b in range(BUCKETS)):
-        table.append((head, before, by.get(head, [])))
-        before += len(by.get(head, []))
-    lookup = spark.createDataFrame(table, "head string, before int, cuts array<struct<k:string,d:bigint>>").coalesce(1)
-    # 4096 rows and at most `ranges` cuts: a fixed size
-    placed = keys.withColumn("head", F.substring("key", 1, 3)).join(F.broadcast(lookup), "head")
-    at = F.struct(F.col("key").alias("k"), low.alias("d"))
-    placed = placed.select("doc_id", "size", "text_crc32", "key", (F.col("before") + F.size(F.filter("cuts", lambda c: c <= at))).alias("range"))
+    def placed_by(cuts: list) -> DataFrame:
+        """keys with their range."""
+        return _ranged(keys, cuts, low)
+
+    def sums_of(placed: DataFrame) -> dict:
+        return {r.range: (r.rows, r.bytes) for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).collect()}
+
+    placed = placed_by(cuts)
+    sums = sums_of(placed)
+    # Ranges that came out over twice the mean are sampled anew, by their own sizes, and subdivided.
+    for _ in range(ROUNDS):
+        mean = total / (len(cuts) + 1)
+        full = {r: b for r, (n, b) in sums.items() if n > 1 and b > 2 * mean}
+        if not full:
+            break
+        weight = F.coalesce(*[F.when(F.col("range") == r, F.lit(float(per_range) / mean)) for r in sorted(full)])
+        again = F.pmod(F.xxhash64("key", "doc_id", F.lit(18 + len(cuts))), F.lit(1 << 30)) / float(1 << 30)
+        more: dict[int, list] = {}
+        for r in placed.where(F.col("range").isin(sorted(full)) & (again < weight * F.col("size"))).select("range", "key", low.alias("low")).collect():
+            more.setdefault(r.range, []).append((r.key, r.low))
+        new = set(cuts)
+        for r, found in more.items():
+            parts = max(2, round(full[r] / mean))
+            found.sort()
+            new |= {found[len(found) * k // parts] for k in range(1, parts)}
+        if new == set(cuts):  # one record, or equal ones, fill the range
+            break
+        cuts = sorted(new)
+        hot = sorted({*hot, *(a[0] for a, b in zip(cuts, cuts[1:], strict=False) if a[0] == b[0])})
+        cuts = sorted({(k, d if k in set(hot) else -(1 << 63)) for k, d in cuts})
+        placed = placed_by(cuts)
+        sums = sums_of(placed)
 
-    sums = {r.range: (r.rows, r.bytes) for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).collect()}
     base, rows, size = [], 0, 0
     for r in range(len(cuts) + 1):
         base.append((r, rows, size))

@@ -204,17 +204,32 @@ def read_archives(directory: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, directory: DataFrame, urls: list[str]) -> list[dict]:
-    """Records of the given urls: the directory is asked for the blocks that may hold a key, then bytes are read."""
-    wanted = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_key(F.col("url")).alias("key")).collect()
-    out, open_file = [], _opener()
-    for url, key in wanted:
-        for row in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect():
-            lines = _block(open_file, row)
-            k = bisect_left(lines, key, key=lambda x: x[0])
-            with open_file(row["warc_path"]) as f:
-                while k < len(lines) and lines[k][0] == key:
-                    f.seek(lines[k][2])
-                    record = parse_record(gzip.decompress(f.read(lines[k][3])))
-                    out += [record] if record["url"] == url else []
-                    k += 1
-    return out
+    """Records of the given urls, in their order, all in one job: the wanted keys are bisected into each sorted stretch
+    of the directory, then into the lines of the blocks found there, and only the records' bytes are read."""
+    asked = spark.createDataFrame([(u,) for u in dict.fromkeys(urls)], "url string").select("url", url_key(F.col("url")).alias("key")).collect()
+    wanted = sorted({r.key for r in asked})
+    exact = {r.url for r in asked}
+
+    def run(batches):
+        open_file = _opener()
+        for batch in batches:
+            blocks = sorted(batch.to_pylist(), key=lambda r: (r["first_key"], r["last_key"]))
+            lasts, out = [r["last_key"] for r in blocks], []
+            for key in wanted:
+                b = bisect_left(lasts, key)
+                while b < len(blocks) and blocks[b]["first_key"] <= key:
+                    lines = _block(open_file, blocks[b])
+                    k = bisect_left(lines, key, key=lambda x: x[0])
+                    with open_file(blocks[b]["warc_path"]) as f:
+                        while k < len(lines) and lines[k][0] == key:
+                            f.seek(lines[k][2])
+                            record = parse_record(gzip.decompress(f.read(lines[k][3])))
+                            out += [record] if record["url"] in exact else []
+                            k += 1
+                    b += 1
+            if out:
+                yield _batch(out)
+
+    place = {u: k for k, u in enumerate(urls)}
+    found = directory.repartitionByRange("first_key").mapInArrow(run, _RECORD).collect()
+    return sorted((r.asDict() for r in found), key=lambda r: (place[r["url"]], r["page_id"] is not None, r["page_id"] or 0))

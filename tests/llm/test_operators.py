@@ -3,6 +3,7 @@ extra columns whose names clash with those used inside."""
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -50,13 +51,6 @@ def test_exact_dedup_odd(spark):
     assert got[2, hashlib.sha256(b"").hexdigest()].group_size == 2
 
 
-def test_dedup_index_over_batches(spark):
-    index = exact_dedup.DedupIndex("min")
-    assert index.add(docs(spark, [(1, "a"), (2, "b")])).where("kept").count() == 2
-    got = {r.doc_id: r.keep_id for r in index.add(docs(spark, [(3, "a"), (4, "c")])).collect()}
-    assert got == {3: 1, 4: 4}
-
-
 # 2
 
 
@@ -84,6 +78,52 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_mixture(gram, logp, names, penalty):
+    """Every set of languages, its proportions by expectation-maximisation over plain lists."""
+    n = collections.Counter(gram.tolist())
+    total, best = sum(n.values()), None
+    for bits in range(1, 1 << len(names)):
+        some = [k for k in range(len(names)) if bits >> k & 1]
+        p = {g: [math.exp(logp[k][g]) for k in some] for g in n}
+        w = [1 / len(some)] * len(some)
+        for _ in range(300):
+            new = [0.0] * len(some)
+            for g, c in n.items():
+                whole = sum(a * b for a, b in zip(w, p[g], strict=True))
+                for j, a in enumerate(w):
+                    new[j] += c * a * p[g][j] / whole / total
+            w = new
+        like = sum(c * math.log(sum(a * b for a, b in zip(w, p[g], strict=True))) for g, c in n.items())
+        value = like - (len(some) - 1) * penalty * math.log(max(2, total))
+        if best is None or value > best[0]:
+            best = (value, {names[k]: x for k, x in zip(some, w, strict=True)})
+    return best[1]
+
+
+def test_mixtures_against_all_sets_of_languages():
+    rnd, gen = random.Random(22), np.random.default_rng(22)
+    names = ["a", "b", "c", "d"]
+    p = gen.dirichlet(np.full(60, 0.25), 4)
+    model = {"languages": names, "logp": np.log(np.pad(p, ((0, 0), (0, language_id.BUCKETS - 60)), constant_values=1e-9) + 1e-9).astype(np.float32)}
+    for _ in range(25):
+        parts = rnd.sample(range(4), rnd.randint(1, 3))
+        gram = np.concatenate([gen.choice(60, rnd.randint(60, 200), p=p[k]) for k in parts])
+        got = dict(language_id.mixture(gram, model)[0])
+        want = brute_mixture(gram, model["logp"], names, 2.0)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.01 for k in got)
+
+
+def test_mixture_of_more_than_eight_languages():
+    gen = np.random.default_rng(23)
+    names = [f"l{k:02d}" for k in range(12)]
+    p = np.full((12, language_id.BUCKETS), 1e-9)
+    for k in range(12):
+        p[k, 20 * k : 20 * k + 20] = 0.05
+    gram = np.concatenate([gen.choice(np.arange(20 * k, 20 * k + 20), 100) for k in range(11)])
+    got = language_id.mixture(gram, {"languages": names, "logp": np.log(p).astype(np.float32)})[0]
+    assert sorted(x for x, _ in got) == names[:11] and all(abs(s - 1 / 11) < 0.02 for _, s in got)
+
+
 def test_language_id_on_held_out_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = language_id.language_id(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
@@ -130,6 +170,17 @@ def test_sharding(spark):
     assert max(sizes) - min(sizes) < 0.04 * sum(sizes) / 8
 
 
+def test_sharding_subdivides_overfull_ranges(spark, monkeypatch):
+    rnd = random.Random(24)
+    rows = [(i, "t" * rnd.randrange(200) + str(rnd.randrange(5000))) for i in range(2000)]
+    asked = []
+    ranged = sharding._ranged
+    monkeypatch.setattr(sharding, "_ranged", lambda keys, cuts, low: asked.append(len(cuts)) or ranged(keys, cuts, low))
+    got = sharding.sampled_shards(docs(spark, rows), ranges=16, per_range=1).collect()  # a sample this thin leaves full ranges
+    assert len(asked) > 1 and asked == sorted(set(asked))
+    assert sorted((r.doc_id, r.size, r.shard) for r in got) == sorted(brute_shards(rows))
+
+
 def test_sharding_odd(spark):
     assert sharding.sampled_shards(docs(spark, [])).count() == 0
     got = sharding.sampled_shards(docs(spark, ODD)).collect()
@@ -223,6 +274,32 @@ def test_line_dedup_odd(spark):
     assert got[None].text == "a b\nc" and got[1].text == "" and got[1].n_removed == 2 and got[2].text is None
 
 
+def test_line_dedup_leaves_columns_with_clashing_names_alone(spark):
+    names = ("_aw_row", "_aw_keep", "_aw_tail", "_aw_left", "row", "keep", "tail", "left", "lo", "hi", "a", "fp", "said", "check", "c0")
+    df = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc"), (None, None)], "doc_id long, text string")
+    for n in names:
+        df = df.withColumn(n, F.lit(f"my {n}"))
+    got = line_dedup.line_dedup(df).collect()
+    assert all(r[n] == f"my {n}" for r in got for n in names) and sorted(r.text or "" for r in got) == ["", "", "a\nb\nc"]
+
+
+def test_runs_that_stand_earlier_are_found(spark):
+    """Of runs of three lines and more everything goes; of two lines some stay, except by whole_lines."""
+    rnd, rows, planted = random.Random(25), [], {}
+    line = lambda: " ".join(words(rnd, 3, 10**9))
+    for k, n in enumerate([2, 3, 5, 20] * 40):
+        run = [line() for _ in range(n)]
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, "\n".join([line() for _ in range(rnd.randrange(1, 6))] + run + [line() for _ in range(rnd.randrange(1, 6))])))
+        planted[2 * k + 1] = (n, set(run))
+    for f in (line_dedup.line_dedup, line_dedup.whole_lines):
+        left = collections.Counter()
+        for r in f(docs(spark, rows)).select("doc_id", "text").collect():
+            n, run = planted.get(r.doc_id, (0, set()))
+            left[n] += bool(run & set(r.text.split("\n")))
+        assert left[3] == left[5] == left[20] == 0 and left[2] <= (30 if f is line_dedup.line_dedup else 0)
+
+
 def brute_whole(rows):
     """Of two lines in a row, or a long line, every occurrence but the first goes."""
     seen, out = {}, {}
@@ -406,6 +483,13 @@ def test_pii_base_spans():
         ("jo​hn(at)example(dot)org", "email", "jo​hn(at)example(dot)org"),
         ("call plus one two one two five five five one two three four ok", "phone", "plus one two one two five five five one two three four"),
         ("at ١٠.٠.٠.٧ there", "ip", "١٠.٠.٠.٧"),
+        ("𝗷𝗼𝗵𝗻@example.com", "email", "𝗷𝗼𝗵𝗻@example.com"),
+        ("write john﹫example.com", "email", "john﹫example.com"),
+        ("ⓙohn@example.com", "email", "ⓙohn@example.com"),
+        ("ruf plus vier neun drei null eins zwei drei vier fünf sechs an", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs"),
+        ("tél plus trois trois un deux trois quatre cinq six sept huit neuf", "phone", "plus trois trois un deux trois quatre cinq six sept huit neuf"),
+        ("tel más tres cuatro nueve uno dos tres cuatro cinco seis siete", "phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete"),
+        ("user+14155552671 [at] example [dot] com", "email", "user+14155552671 [at] example [dot] com"),
     ],
 )
 def test_pii_disguises(text, kind, span):
@@ -469,6 +553,15 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_lookups_of_many_urls(spark):
+    rows = [(k, f"http://h{k % 90}.net/{k % 400}", f"x{k}") for k in range(3000)]
+    directory = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    urls = [f"http://h{k}.net/{j}" for k in (3, 77, 5, 91) for j in range(0, 400, 7)]
+    found = warc.lookup(spark, directory, urls)
+    assert sorted((r["page_id"], r["payload"]) for r in found) == sorted((i, h.encode()) for i, u, h in rows if u in set(urls))
+    assert [urls.index(r["url"]) for r in found] == sorted(urls.index(r["url"]) for r in found)
+
+
 def test_warc_detects_damage():
     import gzip
 
@@ -488,6 +581,7 @@ def brute_overlaps(rows, items, min_tokens=5):
         a = toks(t)
         for k, b in ((k, toks(x)) for k, x in items):
             if len(b) < min_tokens:
+                out |= {(d, k, len(b))} if b and a == b else set()
                 continue
             best = 0
             for offset in range(-len(b) + 1, len(a)):
@@ -504,18 +598,18 @@ def brute_overlaps(rows, items, min_tokens=5):
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_decontaminate(spark, limit):
     rnd = random.Random(11)
-    items = [(k, " ".join(words(rnd, n))) for k, n in enumerate([6, 9, 14, 20, 36, 59, 3])] + [(50, None), (51, "")]
+    items = [(k, " ".join(words(rnd, n))) for k, n in enumerate([*range(3, 21), 36, 59])] + [(50, None), (51, "")]
     rows = []
-    for k in range(60):
+    for k in range(100):
         text = words(rnd, rnd.choice([30, 700]))
-        if k % 2:
-            item = rnd.choice(items[:6])[1].split()
-            for _ in range(rnd.randrange(2) if len(item) > 12 else 0):
+        if k % 10:
+            item = items[k % 20][1].split()
+            for _ in range(rnd.randrange(3)):
                 item[rnd.randrange(len(item))] = "sub"
             at = rnd.randrange(len(text))
             text[at:at] = item
         rows.append((k, rnd.choice([" ", ", ", "\n"]).join(text)))
-    rows += [(100, None), (101, ""), (102, items[5][1].upper()), (103, "w1 " * 5000 + items[4][1])]
+    rows += [(100, None), (101, ""), (102, items[19][1].upper()), (103, "w1 " * 5000 + items[18][1]), (104, items[0][1] + "."), (105, items[1][1])]
     bench = spark.createDataFrame([(k, t, "z") for k, t in items], "item_id long, text string, seed string")
     found = {(r.doc_id, r.item_id, r.score) for r in decontaminate.overlaps(docs(spark, rows), bench, broadcast_seeds=limit).collect()}
     assert found == brute_overlaps(rows, items)
@@ -523,5 +617,24 @@ def test_decontaminate(spark, limit):
     kept = decontaminate.decontaminate(df, bench)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _, _ in found} | {None}
+    twice = [(1, "clean text of a row that shares its id"), (1, items[17][1]), (None, "clean"), (None, items[17][1] + " tail")]
+    left = decontaminate.decontaminate(docs(spark, twice), bench, broadcast_seeds=limit).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "clean"), (1, "clean text of a row that shares its id")]
     assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
     assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_seeds_find_substitutions_at_every_length(spark):
+    """Recall over random substitutions that still reach the score, for items of 5 to 40 tokens."""
+    rnd, items, rows = random.Random(26), [], []
+    for n in range(5, 41):
+        text = words(rnd, n, 10**9)
+        items.append((n, " ".join(text)))
+        for k in range(20):
+            new = [w if rnd.random() > 0.12 else "sub" for w in text]
+            rows.append((100 * n + k, " ".join([*words(rnd, 8, 10**9), *new, *words(rnd, 8, 10**9)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    by = {i: t for i, t in items}
+    want = {(d, i) for d, t in rows for i, _, _ in [*brute_overlaps([(d, t)], [(d // 100, by[d // 100])])] for i in [d // 100]}
+    assert found <= want and len(found) >= 0.99 * len(want) and {w for w in want if w[1] < 14} <= found
