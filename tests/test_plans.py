@@ -112,7 +112,7 @@ def test_command_line_scores_by_a_model_and_stored_tables(spark, tmp_path):
     assert all(re.fullmatch(r"\d( -\[\d\]-> \d)+", t) for t in text)
     PathModel("pra", [[-1, 1, 1]], train_predpath(graph(spark, C), read_candidates(spark, c), top=1, folds=2).model, 1.0, 0.5).save(spark, str(tmp_path / "m"))
     assert cli.main(["-m", "pra", "--model", str(tmp_path / "m"), "-g", g, "-d", c, "-o", out], spark) == 0
-    assert spark.read.option("header", True).csv(f"{out}/scores").where("softmaxscore > 0").count() == 56
+    assert spark.read.option("header", True).csv(f"{out}/scores").where("double(softmaxscore) > 0").count() == 56
 
 
 def test_training_without_the_predicates_edges(spark):
