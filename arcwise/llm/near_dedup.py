@@ -13,6 +13,7 @@ each other; those of a component already found drop out. Texts whose bands still
 by exact prefix and position filtering on their labelled shingles, so no link between candidates is lost, and neither
 copies nor a family of loosely alike texts make their square.
 Components come from alternating large-star and small-star steps on written tables.
+Rows of a hot bucket, shingle, leader or component are dealt over blocks, and what they meet goes to each block.
 
 Nulls: a null text counts as empty; texts without words are one class. A null doc_id sorts first and can be a class's
 id only if all are null. Rows equal in both get the same class. Empty tables give an empty result. Other columns are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,16 @@ _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240229)
 _MULT = _RNG.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 _XOR = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
-_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
+_MIX = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(0x7FEB352D)
-    x = x ^ (x >> np.uint32(15))
-    x = x * np.uint32(0x846CA68B)
-    return x ^ (x >> np.uint32(16))
+    """The 64-bit finaliser of splitmix."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def words_of(text: str) -> list[str]:
@@ -56,36 +59,42 @@ def text_id(words: list[str]) -> bytes:
 
 
 def shingles(words: list[str], known: dict | None = None) -> np.ndarray:
-    """Hashes of the five-word shingles in the order of the text; `known` keeps words' hashes."""
+    """64-bit hashes of the five-word shingles in the order of the text; `known` keeps words' hashes."""
     known = {} if known is None else known
     if len(known) > 50_000:
         known.clear()
-    ids = np.empty(len(words), np.uint32)
+    ids = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
         h = known.get(w)
         if h is None:
-            h = known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
+            h = known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         ids[i] = h
     n = max(1, len(ids) - WORDS + 1)
-    out = np.full(n, len(ids) if len(ids) < WORDS else WORDS, np.uint32)
+    out = np.full(n, len(ids) if len(ids) < WORDS else WORDS, np.uint64)
     for k in range(min(WORDS, len(ids))):
         out = _stir(out + ids[k : k + n] * _MIX[k])
     return out
 
 
-def sketch(s: np.ndarray) -> list[int]:
-    """BANDS values of ROWS ordered pairs of minimal labelled shingles each."""
+def labelled_shingles(s: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles with their occurrence numbers, in the order of the text."""
     order = np.argsort(s, kind="stable")
     ranked = s[order]
     start = np.r_[True, ranked[1:] != ranked[:-1]]
     first = np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
-    label = np.empty(len(s), np.uint32)
-    label[order] = (np.arange(len(s)) - first).astype(np.uint32)
-    labelled = _stir(s + label * np.uint32(0x9E3779B1))
-    values = np.empty((ROWS * BANDS, KEEP), np.uint32)
+    label = np.empty(len(s), np.uint64)
+    label[order] = (np.arange(len(s)) - first).astype(np.uint64)
+    return _stir(s + label * np.uint64(0x9E3779B97F4A7C15))
+
+
+def sketch(s: np.ndarray) -> list[int]:
+    """BANDS values of ROWS ordered pairs of minimal labelled shingles each; 32 bits do for the order within a text."""
+    labelled = labelled_shingles(s)
+    short = labelled.astype(np.uint32)
+    values = np.empty((ROWS * BANDS, KEEP), np.uint64)
     block = max(1, (1 << 18) // len(s))
     for a in range(0, ROWS * BANDS, block):
-        h = (labelled[None, :] ^ _XOR[a : a + block, None]) * _MULT[a : a + block, None]
+        h = (short[None, :] ^ _XOR[a : a + block, None]) * _MULT[a : a + block, None]
         rows = np.arange(len(h))
         one = h.argmin(axis=1)
         h[rows, one] = np.uint32(0xFFFFFFFF)
@@ -151,13 +160,15 @@ def _sketcher():
     def run(batches):
         known: dict = {}
         for batch in batches:
-            ids, keys, bands = [], [], []
+            ids, keys, sizes, bands = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 ids.append(doc_id)
                 keys.append(text_id(words))
+                sizes.append(max(1, len(words) - WORDS + 1))
                 bands.append(sketch(shingles(words, known)) if words else [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "id", "bands"])
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "size", "bands"])
 
     return run
 
@@ -181,7 +192,7 @@ def _verifier(similarity: float):
     def run(batches):
         for batch in batches:
             u, v, x, y = (batch.column(k) for k in range(4))
-            keep = [aligned(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), similarity) >= similarity for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            keep = [aligned(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) >= similarity for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
 
@@ -196,10 +207,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each node's greater neighbours move to its least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = blocks_join(both, least, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, "large")
         # small star: a node and its lesser neighbours move to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = blocks_join(large, least, "u", F.col("v")).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = stored(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -213,17 +225,28 @@ def _labelled():
     def run(batches):
         for batch in batches:
             for i, root, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                s = np.frombuffer(data, np.uint32)
-                order = np.argsort(s, kind="stable")
-                ranked = s[order].astype(np.int64)
-                start = np.r_[True, ranked[1:] != ranked[:-1]]
-                label = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
-                m = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * m, pa.binary()), pa.array([root] * m, pa.binary()), pa.array(np.full(m, m, np.int32)), pa.array(ranked << 31 ^ label)], names=["id", "root", "n", "tok"])
+                toks = labelled_shingles(np.frombuffer(data, np.uint64)).astype(np.int64)
+                m = len(toks)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * m, pa.binary()), pa.array([root] * m, pa.binary()), pa.array(np.full(m, m, np.int32)), pa.array(toks)], names=["id", "root", "n", "tok"])
 
     return run
 
 
+def hot_keys(counted: DataFrame, key: str, count: str, rows: int = 256) -> DataFrame:
+    """(key, blocks) of the keys with more than `rows` rows: a block for each `rows` of them."""
+    return stored(counted.where(F.col(count) > rows).select(key, F.ceil(F.col(count) / rows).cast("int").alias("blocks")), "hot")
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """left join right by key, the rows that left has of a hot key dealt over its blocks by `spread`; right's rows of it go
+    to each block. Keys that aren't hot are moved once, as in a plain join. Spark broadcasts `hot` by its size on disk;
+    beyond the threshold it is joined by a shuffle of narrow rows."""
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = left.join(hot, key, "left").withColumn("_aw_block", F.pmod(F.xxhash64(spread), blocks).cast("int")).drop("blocks")
+    right = right.join(hot, key, "left").withColumn("_aw_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    return left.join(right, [key, "_aw_block"]).drop("_aw_block")
+
+
 def _prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(id, other) of all pairs of different root that can reach the similarity, by prefix and position.
 
@@ -233,19 +256,21 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, similarity: float) -> Data
     """
     toks = stored(nodes.join(texts, "id").select("id", "root", "s").mapInArrow(_labelled(), "id binary, root binary, n int, tok long"), "labelled")
     often = stored(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
-    lists = toks.join(often, "tok").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("x"))
+    lists = split_join(toks, often, "tok", "id", hot_keys(often, "tok", "df", 10_000)).groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("x"))
     alone = F.col("n") - F.size("x")
     prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
     lists = lists.select("id", "root", "n", alone.alias("alone"), F.posexplode(F.slice("x", 1, F.greatest(F.lit(0), prefix - alone))).alias("k", "y"))
     lists = stored(lists.select("id", "root", "n", (F.col("alone") + F.col("k")).alias("i"), F.col("y.tok").alias("tok")), "prefixes")
-    several = lists.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    lists = stored(lists.join(several, "tok"), "prefixes")
+    several = lists.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo <> hi").select("tok", "df")
+    several = stored(several, "several")
+    hot = hot_keys(several, "tok", "df")
+    lists = stored(split_join(lists, several.select("tok"), "tok", "id", hot), "prefixes")
     a = lists.select("tok", "id", "root", "n", "i")
     b = lists.select("tok", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "i")])
     share = similarity / (1 + similarity)
     enough = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= (F.col("n") + F.col("n2")) * share - 1e-9
     near = F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-9
-    return a.join(b, "tok").where((F.col("root") < F.col("root2")) & enough & near).select("id", F.col("id2").alias("other")).distinct()
+    return split_join(a, b, "tok", "id", hot).where((F.col("root") < F.col("root2")) & enough & near).select("id", F.col("id2").alias("other")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
@@ -257,11 +282,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, rounds: int = 1) -
 def _classes(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
     rows = text_of(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The MD5 of its words stands for a text.
-    made = stored(rows.mapInArrow(_sketcher(), "doc_id long, id binary, bands array<long>"), "sketches")
-    unlike = made.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bands").alias("bands"))
-    members = stored(unlike.where(F.size("bands") > 0).select("id", "n", F.posexplode("bands").alias("band", "value")).select("id", "n", F.xxhash64("band", "value").alias("bucket")), "bands")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(members.join(shared, "bucket"), "members")
+    made = stored(rows.mapInArrow(_sketcher(), "doc_id long, id binary, size int, bands array<long>"), "sketches")
+    unlike = made.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("bands").alias("bands"))
+    members = stored(unlike.where(F.size("bands") > 0).select("id", "n", "size", F.posexplode("bands").alias("band", "value")).select("id", "n", "size", F.xxhash64("band", "value").alias("bucket")), "bands")
+    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared")
+    hot = hot_keys(shared, "bucket", "rows")
+    members = stored(split_join(members, shared.select("bucket"), "bucket", "id", hot), "members")
 
     # The texts that may be linked, as shingles, once.
     wanted = members.select("id").distinct().join(unlike.select("id", "rep"), "id")
@@ -269,10 +295,12 @@ def _classes(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
     texts = stored(texts.mapInArrow(_shingler(), "id binary, s binary").dropDuplicates(["id"]), "shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("u"), F.col("s").alias("x"), F.length("s").alias("nx"))
-        b = texts.select(F.col("id").alias("v"), F.col("s").alias("y"), F.length("s").alias("ny"))
-        near = pairs.join(a.select("u", "nx"), "u").join(b.select("v", "ny"), "v").where(F.least("nx", "ny") >= F.greatest("nx", "ny") * similarity)
-        return near.select("u", "v").join(a.drop("nx"), "u").join(b.drop("ny"), "v").select("u", "v", "x", "y").mapInArrow(_verifier(similarity), "u binary, v binary")
+        # A leader may be in a third of all pairs: each 256 of them get the leader's shingles in a task of their own.
+        ends = []
+        for end, other, name in (("u", "v", "x"), ("v", "u", "y")):
+            hot = hot_keys(pairs.select(end).groupBy(end).agg(F.count(F.lit(1)).alias("rows")), end, "rows")
+            ends.append((texts.select(F.col("id").alias(end), F.col("s").alias(name)), end, other, hot))
+        return reduce(lambda got, right: split_join(got, *right), ends, pairs).select("u", "v", "x", "y").mapInArrow(_verifier(similarity), "u binary, v binary")
 
     spark = docs.sparkSession
     links = spark.createDataFrame([], "u binary, v binary")
@@ -284,13 +312,15 @@ def _classes(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
             state = state.withColumn("root", F.col("id"))
         else:  # buckets of several components
             open_ = state.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-            state = state.join(open_, "bucket")
+            state = split_join(state, open_, "bucket", "id", hot)
         state = stored(state, "state")
         if turn < rounds:
             # Each member meets two leaders of the bucket: the text with the most copies, and one drawn by hash.
-            rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "root")
-            lead = state.groupBy("bucket").agg(F.array(F.max_by(rank, F.struct("n", "id")), F.min(rank)).alias("two")).select("bucket", F.explode("two").alias("l"))
-            pairs = state.join(lead, "bucket").where((F.col("id") != F.col("l.id")) & (F.col("root") != F.col("l.root"))).select("id", F.col("l.id").alias("other"))
+            rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("r"), "id", "root", "size")
+            lead = state.groupBy("bucket").agg(F.array(F.max_by(rank, F.struct("n", "id")), F.min(rank)).alias("two"))
+            pairs = split_join(state, lead, "bucket", "id", hot).select("id", "root", "size", F.explode("two").alias("l"))
+            near = F.least("size", "l.size") >= F.greatest("size", "l.size") * similarity
+            pairs = pairs.where((F.col("id") != F.col("l.id")) & (F.col("root") != F.col("l.root")) & near).select("id", F.col("l.id").alias("other"))
         else:
             # The exact rest, among texts whose buckets hold several components.
             pairs = _prefix_pairs(state.select("id", "root").distinct(), texts, similarity)

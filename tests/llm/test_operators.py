@@ -353,7 +353,7 @@ def test_alignment_is_exact_at_and_above_the_threshold():
             b[k : k + rnd.randrange(2)] = [rnd.randrange(30)] * rnd.randrange(3)
         if not b:
             continue
-        got, want = near_dedup.aligned(np.array(a, np.uint32), np.array(b, np.uint32)), brute_aligned(a, b)
+        got, want = near_dedup.aligned(np.array(a, np.uint64), np.array(b, np.uint64)), brute_aligned(a, b)
         assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
 
 
@@ -400,6 +400,27 @@ def test_near_duplicates(spark):
     assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_near_duplicates_of_large_families(spark):
+    """One family of 1,000 texts of one word's difference and one of 2,000 copies: keys over a block, no square of pairs."""
+    rnd = random.Random(17)
+    base, copied = words(rnd, 80), " ".join(words(rnd, 40))
+    rows = [(k, " ".join([*base[:40], f"own{k}", *base[41:]])) for k in range(1000)]
+    rows += [(1000 + k, copied) for k in range(2000)] + [(3000 + k, " ".join(words(rnd, 60, 9000))) for k in range(50)]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == (0, 1000) for k in range(1000)) and all(got[k] == (1000, 2000) for k in range(1000, 3000))
+    assert all(got[k] == (k, 1) for k in range(3000, 3050))
+
+
+def test_split_join(spark):
+    left = spark.createDataFrame([(k % 7 and 1, k) for k in range(1200)] + [(None, 1), (9, 9)], "k long, v long")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (8, "d")], "k long, w string")
+    hot = near_dedup.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "n", 100)
+    assert {r.k: r.blocks for r in hot.collect()} == {0: 2, 1: 11}
+    got, want = near_dedup.split_join(left, right, "k", "v", hot), left.join(right, "k")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
 def test_near_duplicates_odd(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     got = [(r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs(spark, ODD)).collect()]
