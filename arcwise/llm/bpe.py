@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bound_batches, text_of
 
 CACHE = 200_000
 _OFFSET = 0x100  # byte b is the character U+0100 + b
@@ -139,6 +139,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
                 columns = [batch.column(0).slice(at, 256), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, names=names)
 
+    bound_batches(docs.sparkSession)
     rows = text_of(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
@@ -153,6 +154,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [own.decode(ids or []).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
+    bound_batches(encoded.sparkSession)
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 

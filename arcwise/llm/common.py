@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_dir, stored
 
-__all__ = ["blocks_join", "hash60", "new_path", "partitions", "shared_dir", "small_batches", "stored", "text_of"]
+__all__ = ["blocks_join", "bound_batches", "hash60", "new_path", "partitions", "shared_dir", "small_batches", "stored", "text_of"]
 
 
 def text_of(df: DataFrame, *columns: str) -> DataFrame:
@@ -33,14 +33,21 @@ def hash60(column: Column) -> Column:
     return F.conv(F.substring(F.md5(column.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lowers the session's limit on rows of an Arrow batch to `rows`, for good: a DataFrame that is returned reads the
+    limit when it is run, so it can't be put back before. Operators that carry whole texts through Python call this."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500):
     """Has the Arrow batches of what runs within hold `rows` rows at most: with long texts the default of 10,000 fills
     Python and the JVM's buffers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, str(rows))
+    bound_batches(spark, rows)
     try:
         yield
     finally:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 BUCKETS = 1 << 17
 BLOCK_CHARS = 1 << 21
 UNDETERMINED = "und"
@@ -62,6 +64,7 @@ def trigrams(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, usable: Column | None = None) -> dict:
     """{'languages': [...], 'logp': float32 array of languages x BUCKETS}: a fixed size for each language label."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if usable is None else usable)).select("lang", "text")
 
     def count(batches):
@@ -143,6 +146,7 @@ def predict(docs: DataFrame, model: dict, carry: list[str], penalty: float = 2.0
     With `keep`, the carried columns alone, of the rows with a language that has such a score.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = [F.col(f"`{c}`") for c in carry]
     names = [f"c{k}" for k in range(len(carry))]

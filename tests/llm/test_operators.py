@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcwise.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pii, sharding, url_filter, warc
+from arcwise.llm.common import bound_batches, small_batches
 
 ODD = [(1, "a b\nc"), (2, None), (3, ""), (4, "a b\nc"), (4, "a b\nc"), (5, "x " * 30_000), (None, "a b\nc"), (6, "\n\n"), (7, "é​ 日本")]
 
@@ -659,3 +660,19 @@ def test_seeds_find_substitutions_at_every_length(spark):
     by = {i: t for i, t in items}
     want = {(d, i) for d, t in rows for i, _, _ in [*brute_overlaps([(d, t)], [(d // 100, by[d // 100])])] for i in [d // 100]}
     assert found <= want and len(found) >= 0.99 * len(want) and {w for w in want if w[1] < 14} <= found
+
+
+def test_batches_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for was, then in (("10000", "500"), ("0", "500"), ("-1", "500"), ("100", "100")):
+            spark.conf.set(key, was)
+            bound_batches(spark)
+            assert spark.conf.get(key) == then
+            spark.conf.set(key, was)
+            with small_batches(spark):
+                assert spark.conf.get(key) == then
+            assert spark.conf.get(key) == was
+    finally:
+        spark.conf.set(key, before)
