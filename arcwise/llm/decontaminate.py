@@ -127,7 +127,11 @@ def found_overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 5, b
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark item; all columns stay. A row goes by its own doc_id and text, so another
-    row of the same doc_id, or one without any, stays unless its text holds an item too."""
+    row of the same doc_id, or one without any, stays unless its text holds an item too.
+
+    What goes is stored first: Spark broadcasts it if its files are under the session's threshold, so that no text is
+    shuffled, and else joins by a shuffle."""
     bad = found_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_aw_bad"), F.col("digest").alias("_aw_text")).distinct()
+    bad = stored(bad, "contaminated")
     own = F.md5(F.coalesce(docs["text"], F.lit("")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_aw_bad"]) & (own == bad["_aw_text"]), "left_anti")
