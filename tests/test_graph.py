@@ -185,6 +185,21 @@ def test_flow_against_brute_force(spark, widths):
         assert r.maxflow == pytest.approx(sum(a[3] for a in arcs if a[0] == s))
 
 
+def test_flow_of_facts_over_several_batches(spark):
+    edges = [(0, k, 0) for k in range(2, 22)] + [(k, 1, 0) for k in range(2, 22)] + [(30, 31, 0), (31, 32, 0)]
+    g, asked = graph(spark, edges), facts(spark, [(0, 0, 1), (30, 0, 32), (0, 0, 32)])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(key), lambda: sorted(map(tuple, stream(g, asked, None).collect()))
+    want = rows()
+    assert [len(r[5]) for r in want] == [5, 0, 1]
+    try:
+        for n in ("1", "3"):
+            spark.conf.set(key, n)
+            assert rows() == want
+    finally:
+        spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("measure", [jaccard, adamic_adar, degree_product, katz, path_entropy, simrank, closure])
 def test_odd_candidates(spark, measure):
     g = graph(spark, [(0, 0, 0), (0, 1, 0), (0, 2, 0), (1, 2, 1)])
