@@ -9,31 +9,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.scalar import degree_weight
-from .storage import stored
+from .storage import stored_by
 
 
 class KnowledgeGraph:
     """edges: s long, p int, o long, w double, distinct in (s, p, o)."""
 
-    def __init__(self, edges: DataFrame, n_relations: int | None = None):
+    def __init__(self, edges: DataFrame, n_relations: int | None = None, symmetric: bool = False):
         self.edges = edges.select(F.col("s").cast("long").alias("s"), F.col("p").cast("int").alias("p"), F.col("o").cast("long").alias("o"), F.col("w").cast("double").alias("w"))
         self._n_relations = n_relations
+        self._symmetric = symmetric  # known to hold every edge in both directions, with one value
 
     @classmethod
     def from_edges(cls, edges: DataFrame, symmetric: bool = True, n_relations: int | None = None, keep: bool = False) -> KnowledgeGraph:
         """From (s, p, o[, w]); symmetric adds the reverse edges. Equal edges of several values keep the largest.
 
-        Rows with a null in s, p or o are left out. keep writes the table once, for graphs that many plans read.
+        Rows with a null in s, p or o are left out. keep writes the table once, for graphs that many plans read; the
+        edges out of a node lie in one bucket of it, so lookups, joins and groups by s move none of them.
         """
         w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
         one = edges.select("s", "p", "o", w.alias("w")).dropna(subset=["s", "p", "o"])
+        if keep:
+            if symmetric:
+                both = F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o")))
+                one = one.select("p", "w", F.explode(both).alias("e")).select("e.s", "p", "e.o", "w")
+            ids = one.select(F.col("s").cast("long").alias("s"), F.col("p").cast("int").alias("p"), F.col("o").cast("long").alias("o"), "w")
+            laid = ids.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
+            return cls(stored_by(laid.groupBy("s", "p", "o").agg(F.max("w").alias("w")), "edges", "s", "p", "o"), n_relations, symmetric)
         if symmetric:  # both directions of a pair meet in one group, so edges are shuffled once
             pairs = one.groupBy(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), "p").agg(F.max("w").alias("w"))
             there, back = F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o"))
             one = pairs.select("p", "w", F.explode(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))).alias("e")).select("e.s", "p", "e.o", "w")
         else:
             one = one.groupBy("s", "p", "o").agg(F.max("w").alias("w"))
-        return cls(stored(one, "edges") if keep else one, n_relations)
+        return cls(one, n_relations, symmetric)
 
     @property
     def n_relations(self) -> int:
@@ -78,7 +87,12 @@ class KnowledgeGraph:
 
     def degrees(self) -> DataFrame:
         """node, d: distinct neighbours on edges into the node, whatever the relation; a self-loop counts once."""
-        return self.edges.select("s", "o").distinct().groupBy(F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("d"))
+        ends = self.inward().select("s", "o").distinct()
+        return ends.groupBy(F.col("o").alias("node")).agg(F.count(F.lit(1)).alias("d"))
+
+    def inward(self) -> DataFrame:
+        """The edges; those of a stored symmetric graph are turned round, so that the edges into a node lie in one bucket."""
+        return self.edges.select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "w") if self._symmetric else self.edges
 
     def adjacency(self) -> DataFrame:
         """u, v, m: distinct neighbour pairs with the number of relations between them."""

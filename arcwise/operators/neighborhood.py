@@ -1,8 +1,9 @@
 """Measures on common neighbours. Candidates: sid, pid, oid with further columns, which are kept.
 
 removal: 'as_coded' counts the candidate's own edge, 'effective' leaves the edge (sid, pid, oid) out of sid's side.
-No neighbour set is gathered: sizes are degrees, the intersection is a join over distinct (sid, oid), so hubs cost
-rows, never arrays.
+No neighbour set is gathered: sizes are degrees, the intersection is a join, so hubs cost rows, never arrays. Where most
+subjects are asked with most objects the neighbours of either side meet by the neighbour, which makes a row for each
+link that is shared; else each distinct (sid, oid) brings the neighbours of sid.
 
 In all scoring methods a candidate with a null id has a null score, repeated candidates get the same score each, and
 an empty table of candidates gives an empty result. A node that the graph doesn't have has no neighbours: with it, and
@@ -26,7 +27,18 @@ def with_ids(candidates: DataFrame) -> DataFrame:
 
 def own_edges(graph: KnowledgeGraph, facts: DataFrame) -> DataFrame:
     """The facts that are edges of the graph."""
-    return facts.join(graph.edges.select(F.col("s").alias("sid"), F.col("p").alias("pid"), F.col("o").alias("oid")), KEYS, "left_semi")
+    return facts.join(_into(graph, facts).select(F.col("s").alias("sid"), F.col("p").alias("pid"), "oid"), KEYS, "left_semi")
+
+
+def _into(graph: KnowledgeGraph, facts: DataFrame) -> DataFrame:
+    """s, p, oid: the edges into the objects of the facts, which a stored symmetric graph has side by side."""
+    return graph.inward().select("s", "p", F.col("o").alias("oid")).join(facts.select("oid").distinct(), "oid", "left_semi")
+
+
+def dense(facts: DataFrame) -> bool:
+    """Whether the facts are about half or more of all (subject, object) pairs. Plans go by it, results don't."""
+    n = facts.agg(F.approx_count_distinct("sid"), F.approx_count_distinct("oid"), F.approx_count_distinct(F.xxhash64("sid", "oid"))).first()
+    return 2.2 * n[2] >= n[0] * n[1]
 
 
 def _counted(graph: KnowledgeGraph, facts: DataFrame, removal: str, weight: Column | None = None) -> DataFrame:
@@ -34,19 +46,22 @@ def _counted(graph: KnowledgeGraph, facts: DataFrame, removal: str, weight: Colu
     degree d; 1 if None) over common neighbours."""
     if removal not in ("as_coded", "effective"):
         raise ValueError(f"removal must be 'as_coded' or 'effective', not {removal!r}")
-    near = graph.adjacency()
-    sizes = near.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    pairs = facts.select("sid", "oid").distinct()
-    met = pairs.join(near.select(F.col("u").alias("sid"), "v"), "sid").join(near.select(F.col("u").alias("oid"), "v"), ["oid", "v"])
+    near, pairs = graph.adjacency(), facts.select("sid", "oid").distinct()
+    sized = lambda end, name: near.select(F.col("u").alias(end)).join(facts.select(end).distinct(), end, "left_semi").groupBy(end).agg(F.count(F.lit(1)).alias(name))
+    if dense(facts):
+        here = near.select(F.col("u").alias("sid"), "v").join(facts.select("sid").distinct(), "sid", "left_semi")
+        met = here.join(near.select(F.col("u").alias("oid"), "v").join(facts.select("oid").distinct(), "oid", "left_semi"), "v")
+    else:
+        met = pairs.join(near.select(F.col("u").alias("sid"), "v"), "sid").join(near.select(F.col("u").alias("oid"), "v"), ["oid", "v"])
     if weight is not None:
         met = met.join(graph.degrees().select(F.col("node").alias("v"), "d"), "v")
     each, zero = weight if weight is not None else F.lit(1.0), F.lit(0.0)
     at_end = F.col("v") == F.col("oid")
     common = met.groupBy("sid", "oid").agg(F.sum(F.when(at_end, zero).otherwise(each)).alias("rest"), F.sum(F.when(at_end, each).otherwise(zero)).alias("end"))
-    out = facts.join(sizes.select(F.col("u").alias("sid"), F.col("n").alias("ds")), "sid", "left").join(sizes.select(F.col("u").alias("oid"), F.col("n").alias("do")), "oid", "left").join(common, ["sid", "oid"], "left")
+    out = facts.join(sized("sid", "ds"), "sid", "left").join(sized("oid", "do"), "oid", "left").join(common, ["sid", "oid"], "left")
     out = out.select(*KEYS, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ds", "do")], *[F.coalesce(c, zero).alias(c) for c in ("rest", "end")])
     if removal == "effective":  # the own edge matters where it is the only one between the two ends
-        single = near.where("m = 1").select(F.col("u").alias("sid"), F.col("v").alias("oid"))
+        single = _into(graph, facts).groupBy(F.col("s").alias("sid"), "oid").agg(F.count(F.lit(1)).alias("m")).where("m = 1")
         lone = own_edges(graph, facts).join(single, ["sid", "oid"], "left_semi").withColumn("lone", F.lit(True))
         out = out.join(lone, KEYS, "left").withColumn("ds", F.col("ds") - F.when(F.col("lone"), 1).otherwise(0)).withColumn("end", F.when(F.col("lone"), zero).otherwise(F.col("end")))
     return out.select(*KEYS, "ds", "do", (F.col("rest") + F.col("end")).alias("common"))

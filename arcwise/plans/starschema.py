@@ -22,14 +22,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """s, p, o in one direction, an edge as often as the tables say it; the graph makes them distinct."""
     items, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
-    bought = items.select("l_orderkey", "l_partkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # One join gives the three edges of an item; without an order it has a supplier only, and the graph drops null ends.
+    bought = items.select("l_orderkey", "l_partkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    c, p, u = node("customer", "o_custkey"), node("part", "l_partkey"), node("supplier", "l_suppkey")
+    three = F.array(*[F.struct(s.alias("s"), F.lit(r).alias("p"), o.alias("o")) for s, r, o in ((c, 3, p), (u, 4, p), (c, 5, u))])
     parts = [
         _read(spark, sf_dir, "customer").select(node("customer", "c_custkey").alias("s"), F.lit(0).alias("p"), node("nation", "c_nationkey").alias("o")),
         _read(spark, sf_dir, "supplier").select(node("supplier", "s_suppkey").alias("s"), F.lit(1).alias("p"), node("nation", "s_nationkey").alias("o")),
         _read(spark, sf_dir, "nation").select(node("nation", "n_nationkey").alias("s"), F.lit(2).alias("p"), node("region", "n_regionkey").alias("o")),
-        bought.select(node("customer", "o_custkey").alias("s"), F.lit(3).alias("p"), node("part", "l_partkey").alias("o")),
-        items.select(node("supplier", "l_suppkey").alias("s"), F.lit(4).alias("p"), node("part", "l_partkey").alias("o")),
-        bought.select(node("customer", "o_custkey").alias("s"), F.lit(5).alias("p"), node("supplier", "l_suppkey").alias("o")),
+        bought.select(F.explode(three).alias("e")).select("e.s", "e.p", "e.o"),
     ]
     every = parts[0]
     for part in parts[1:]:

@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex
+_TABLES: list[tuple[str, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,15 +34,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/arcwise/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """The shuffle files of what runs within go when it ends, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back: computed once, without lineage, safe when an executor is lost."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
+    """stored, with the rows of a key in one of as many buckets as a shuffle has partitions, sorted by key and order:
+    joins and groups by the key then move no row of the table. df is repartitioned by the key into as many before, or
+    each task writes many files. The table lies in the shared folder; the session's catalog has its name."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"arcwise_{name}_{uuid.uuid4().hex}"
+    with _shuffles_removed(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(n, key).sortBy(key, *order).saveAsTable(table)
+    _TABLES.append((spark.sparkContext.applicationId, table))
+    return spark.table(table)
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes what this process has stored; results that weren't consumed can't be read afterwards."""
+    for app, table in _TABLES:
+        if app == spark.sparkContext.applicationId:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _TABLES.clear()
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/arcwise/{_RUN}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

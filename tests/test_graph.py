@@ -11,7 +11,7 @@ from arcwise.operators.closure import closure
 from arcwise.operators.dictionary import dense_ids, encode_triples
 from arcwise.operators.flow import edge_flows, stream
 from arcwise.operators.measures import katz, path_entropy, simrank
-from arcwise.operators.neighborhood import adamic_adar, degree_product, jaccard
+from arcwise.operators.neighborhood import adamic_adar, degree_product, dense, jaccard
 from arcwise.operators.relations import cooccurrence, relational_similarity, top_similar
 from arcwise.operators.walks import walk_counts, walks
 from arcwise.plans.learn import path_probabilities
@@ -200,6 +200,44 @@ def test_flow_of_facts_over_several_batches(spark):
         spark.conf.set(key, before)
 
 
+def shuffled(df):
+    """What a plan moves: the exchanges in it, as text."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_stored_graph_lies_by_node(spark):
+    edges = [(k, k % 7, k % 3) for k in range(1, 40)] + [(7, 7, 0), (1, 0, 1), (0, 1, 1)]
+    for symmetric in (True, False):
+        g, plain = (graph(spark, edges, symmetric, keep) for keep in (True, False))
+        assert sorted(g.edges.collect()) == sorted(plain.edges.collect())
+        assert sorted(g.degrees().collect()) == sorted(plain.degrees().collect())
+        assert not shuffled(g.adjacency()) and not shuffled(g.out_degrees())
+    assert not shuffled(graph(spark, edges).degrees())
+
+
+@pytest.mark.parametrize("removal", ["as_coded", "effective"])
+def test_common_neighbours_by_either_plan(spark, gc, removal):
+    rows = [(r.s, r.p, r.o) for r in gc.edges.collect()]
+    every = [(s, p, o) for s in range(9) for p in (0, 1) for o in range(8)]  # 8 is unknown
+    few = [(k, 1, 7 - k) for k in range(8)]
+    assert dense(facts(spark, every)) and not dense(facts(spark, few))
+    for asked in (every, few):
+        got = {(r.sid, r.pid, r.oid): r.score for r in jaccard(gc, facts(spark, asked), removal).collect()}
+        for f in asked:
+            a = {o for s, p, o in rows if s == f[0] and not (removal == "effective" and (s, p, o) == f)}
+            b = {o for s, _, o in rows if s == f[2]}
+            assert got[f] == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from arcwise.storage import stored
+
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = files()
+    assert stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "t").count() == 7
+    assert files() <= before + 3  # the count's own
+
+
 @pytest.mark.parametrize("measure", [jaccard, adamic_adar, degree_product, katz, path_entropy, simrank, closure])
 def test_odd_candidates(spark, measure):
     g = graph(spark, [(0, 0, 0), (0, 1, 0), (0, 2, 0), (1, 2, 1)])
