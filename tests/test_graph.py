@@ -238,6 +238,23 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert files() <= before + 3  # the count's own
 
 
+@pytest.mark.parametrize("group", [2_000_000, 2])
+def test_walk_counts_of_all_pairs(spark, gc, monkeypatch, group):
+    monkeypatch.setattr("arcwise.operators.walks._GROUP", group)
+    far = [(100 + k, 0, 0) for k in range(40)]  # more objects than a block has
+    g = graph(spark, [*C, (0, 0, 0), *far])
+    m = {}
+    for r in g.edges.collect():
+        m[r.s, r.o] = m.get((r.s, r.o), 0) + 1
+    nodes = sorted({u for u, _ in m})
+    asked = facts(spark, [(s, 0, o) for s in nodes for o in [*nodes, 999]])
+    assert dense(asked)
+    two = {(a, c): sum(m.get((a, b), 0) * m.get((b, c), 0) for b in nodes) for a in nodes for c in nodes}
+    three = {(a, c): sum(m.get((a, b), 0) * two[b, c] for b in nodes) for a in nodes for c in nodes}
+    got = {(r.sid, r.oid): (r.w2, r.w3) for r in walk_counts(g, asked).collect()}
+    assert got == {(s, o): (two.get((s, o), 0), three.get((s, o), 0)) for s in nodes for o in [*nodes, 999]}
+
+
 @pytest.mark.parametrize("measure", [jaccard, adamic_adar, degree_product, katz, path_entropy, simrank, closure])
 def test_odd_candidates(spark, measure):
     g = graph(spark, [(0, 0, 0), (0, 1, 0), (0, 2, 0), (1, 2, 1)])
