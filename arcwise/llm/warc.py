@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_join, new_path, partitions, stored
+from .common import blocks_join, bound_batches, new_path, partitions, stored
 from .url_filter import host_key, host_of, path_of
 
 BLOCK = 512
@@ -103,7 +103,8 @@ def _writer(folder: str):
 
         place, marks = None, {}  # of the page that comes next: digest -> the response that it repeats
         for batch in batches:
-            for key, page_id, mark, url, html, keep, digest in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for key, page_id, mark, url, html, keep, sha in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                digest = base64.b32encode(sha).decode()
                 if (key, page_id) != place:
                     place, marks = (key, page_id), {}
                 if mark == 0:
@@ -131,6 +132,7 @@ def _writer(folder: str):
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes archives and index of page_id, url, html; returns the block directory, itself a stored table."""
     spark = pages.sparkSession
+    bound_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("key", url_key(F.col("url")))
     large = rows.where(F.length("html") >= min_bytes)
@@ -140,20 +142,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     none = F.lit(None)
     marks = copies.select("key", "page_id", F.lit(0).alias("mark"), none.cast("string").alias("url"), none.cast("binary").alias("html"), "keep", "sha").distinct()
     every = rows.select("key", "page_id", F.lit(1).alias("mark"), "url", "html", none.cast("long").alias("keep"), "sha").unionByName(marks)
-    ordered = every.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "mark").withColumn("sha", _base32(F.col("sha")))
+    ordered = every.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "mark")
     return stored(ordered.mapInArrow(_writer(new_path(spark, "warc")), _DIRECTORY), "directory")
 
 
-def _base32(sha: Column) -> Column:
-    @F.pandas_udf("string")
-    def encode(values):
-        import pandas as pd
-
-        return pd.Series([base64.b32encode(x).decode() for x in values])
-
-    return encode(sha)
-
-
 def _block(open_file, row) -> list:
     """The lines of a block, by a range read of its bytes."""
     with open_file(row["index_path"]) as f:

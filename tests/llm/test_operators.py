@@ -584,6 +584,26 @@ def test_warc_lookups_of_many_urls(spark):
     assert [urls.index(r["url"]) for r in found] == sorted(urls.index(r["url"]) for r in found)
 
 
+def test_warc_has_one_python_step_a_task(spark, monkeypatch):
+    """A second Python worker for each task took the executors over their memory."""
+
+    def refused(*_):
+        raise AssertionError("a Python function beside the writer")
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    monkeypatch.setattr(warc.F, "pandas_udf", refused)
+    try:
+        directory = warc.write_archives(spark.createDataFrame([(1, "http://a.b/", "x"), (2, "http://a.b/", "x")], "page_id long, url string, html string"))
+        assert int(spark.conf.get(key)) <= 500
+        got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(directory).collect())
+    finally:
+        spark.conf.set(key, before)
+    digest = warc.base32_sha1(b"x")
+    assert got == [(1, digest, "revisit", 2), (2, digest, "response", None)]
+
+
 def test_warc_detects_damage():
     import gzip
 
