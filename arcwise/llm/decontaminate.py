@@ -33,7 +33,7 @@ SHORT = 14
 
 def tokens(text: Column) -> Column:
     """Hashes of the lower-case tokens of letters and digits."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -60,6 +60,28 @@ def _seed(mask: str, number: int) -> Column:
     return F.xxhash64(F.lit(number), *at)
 
 
+def _whole(toks: str) -> Column:
+    return F.xxhash64(F.lit(-1), toks)
+
+
+def _again(masks: list[tuple[str, int]], before: Column) -> Column:
+    """Whether a hit has a lesser one on its diagonal, which has the same overlap: of the same mask one token before
+    (`before`: that token is looked at), or of an earlier mask at the same place. The least of a diagonal never has."""
+
+    def same(mask: str, back: int) -> Column:
+        at = [F.get("toks", F.col("pos") + (j - back)) == F.get("item", F.col("ipos") + (j - back)) for j, bit in enumerate(mask) if bit == "1"]
+        return F.coalesce(reduce(Column.__and__, at), F.lit(False))
+
+    out = F.lit(False)
+    for n, (mask, k) in enumerate(masks):
+        lesser = before & (F.col("ipos") > 0) & same(mask, 1)
+        for other, j in masks[:n]:
+            if j < len(MASKS) and k < len(MASKS):
+                lesser = lesser | same(other, 0)
+        out = F.when(F.col("mask") == k, lesser).otherwise(out)
+    return out
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 5, broadcast_seeds: int = 200_000) -> DataFrame:
     """doc_id, item_id, score, matched, item_tokens, doc_pos: the best overlap of each document and item that reach the threshold.
 
@@ -72,29 +94,37 @@ def found_overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 5, b
     """overlaps with the digest of the document's text: a row for each doc_id, text and item."""
     items = text_of(benchmark, "item_id", "text").select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
     items = stored(items, "items")
-    lengths = sorted(r[0] for r in items.where(F.size("toks").between(min_tokens, SHORT - 1)).select(F.size("toks")).distinct().collect())  # under SHORT values
+    lengths = sorted(r[0] for r in items.where(F.size("toks") < max(min_tokens, SHORT)).select(F.size("toks")).distinct().collect())  # under SHORT values
+    tiny = any(n < min_tokens for n in lengths)
     cores: dict[int, list[int]] = {}
     for n in lengths:
-        cores.setdefault(core(n), []).append(n)
+        if min_tokens <= n < SHORT:
+            cores.setdefault(core(n), []).append(n)
     masks = [(m, k, F.size("toks") >= SHORT) for k, m in enumerate(MASKS)] + [("1" * n, 100 + n, F.size("toks").isin(of)) for n, of in cores.items()]
     parts = []
     for mask, k, takes in masks:
         part = items.where(takes).select("item_id", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - len(mask))).alias("pos"))
-        parts.append(part.select("item_id", F.col("toks").alias("item"), F.col("pos").alias("ipos"), _seed(mask, k).alias("seed")))
+        parts.append(part.select("item_id", F.col("toks").alias("item"), F.col("pos").alias("ipos"), F.lit(k).alias("mask"), _seed(mask, k).alias("seed")))
+    if tiny:  # one seed of all tokens
+        parts.append(items.where(F.size("toks") < min_tokens).select("item_id", F.col("toks").alias("item"), F.lit(0).alias("ipos"), F.lit(-1).alias("mask"), _whole("toks").alias("seed")))
     item_seeds = reduce(DataFrame.unionByName, parts)
     longest = items.agg(F.max(F.size("toks"))).first()[0] or 0
     small = longest <= LONGEST and item_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
 
     # Documents go in pieces of PIECE tokens with what an item may need on either side: a row stays small, however long the text.
     side = max(SHORT, longest) if small else SHORT
+    # A text is split once: a filter on its tokens, or a second branch of the plan, would split all texts again.
     keyed = text_of(docs, "doc_id", "text").select("doc_id", F.md5("text").alias("digest"), tokens(F.col("text")).alias("all"))
     cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE)), lambda i: F.struct(i.alias("at"), F.greatest(F.lit(0), i - side).alias("from"), F.slice("all", F.greatest(F.lit(0), i - side) + 1, F.least(i, F.lit(side)) + PIECE + side).alias("toks")))
-    pieces = keyed.where(F.size("all") > 0).select("doc_id", "digest", F.explode(cut).alias("c")).select("doc_id", "digest", F.col("c.at").alias("at"), F.col("c.from").alias("from"), F.col("c.toks").alias("toks"))
+    short = F.when(F.size("all") < min_tokens, _whole("all")) if tiny else F.lit(None).cast("long")
+    pieces = keyed.select("doc_id", "digest", short.alias("short"), F.explode(F.when(F.size("all") > 0, cut)).alias("c")).select("doc_id", "digest", "short", F.col("c.at").alias("at"), F.col("c.from").alias("from"), F.col("c.toks").alias("toks"))
     here = F.col("at") - F.col("from")
-    walked = pieces.select("doc_id", "digest", "from", "toks", F.explode(F.sequence(here, F.least(here + PIECE, F.size("toks")) - 1)).alias("pos"))
-    each = F.array(*[F.when(F.col("pos") + len(m) <= F.size("toks"), _seed(m, k)) for m, k, _ in masks])
+    walked = pieces.select("doc_id", "digest", "short", "at", "from", "toks", F.explode(F.sequence(here, F.least(here + PIECE, F.size("toks")) - 1)).alias("pos"))
+    seeds = [F.when(F.col("pos") + len(m) <= F.size("toks"), _seed(m, k)) for m, k, _ in masks]
+    each = F.array(*seeds, *([F.when(F.col("pos") == 0, F.col("short"))] if tiny else []))
     if small:
-        hits = walked.select("doc_id", "digest", "from", "toks", "pos", F.explode(each).alias("seed")).join(F.broadcast(item_seeds), "seed")
+        hits = walked.select("doc_id", "digest", "at", "from", "toks", "pos", F.explode(each).alias("seed")).join(F.broadcast(item_seeds), "seed")
+        hits = hits.select("doc_id", "digest", "item_id", "item", "ipos", "pos", "from", "toks", F.explode(F.when(~_again([(m, k) for m, k, _ in masks], F.col("pos") > here), F.array(F.lit(0)))).alias("least"))
     else:  # positions travel without the tokens, and only documents with hits bring theirs
         found = walked.select("doc_id", "digest", (F.col("from") + F.col("pos")).alias("at"), F.explode(each).alias("seed")).join(item_seeds, "seed")
         found = found.select("doc_id", "digest", "item_id", "item", (F.col("at") - F.col("ipos")).alias("offset")).distinct()
@@ -113,13 +143,10 @@ def found_overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 5, b
         better = run > s["best"]
         return F.struct(run.alias("run"), F.when(better, run).otherwise(s["best"]).alias("best"), matched.alias("matched"), F.when(better, matched).otherwise(s["top"]).alias("top"))
 
-    scored = laid.select("doc_id", "digest", "item_id", "item_tokens", "doc_pos", F.aggregate(equal, zero, stretch).alias("s"))
+    # Exploded, since else Spark makes the score a condition of the join, which then isn't compiled and copies each seed's tokens.
+    scored = laid.select("doc_id", "digest", "item_id", "item_tokens", "doc_pos", F.explode(F.array(F.aggregate(equal, zero, stretch))).alias("s"))
     need = F.least(F.lit(12), F.floor((F.col("item_tokens") * 7 + 9) / 10))
     scored = scored.where(F.col("s.best") >= need).select("doc_id", "digest", "item_id", "item_tokens", "doc_pos", "s.best", "s.top")
-    # Items too short for seeds.
-    tiny = items.where(F.size("toks") < min_tokens).select("item_id", F.col("toks").alias("all"))
-    same = keyed.where(F.size("all") < min_tokens).join(tiny, "all").select("doc_id", "digest", "item_id", F.size("all").alias("item_tokens"), F.lit(0).alias("doc_pos"), F.size("all").alias("best"), F.size("all").alias("top"))
-    scored = scored.unionByName(same)
     best = F.max(F.struct(F.col("best").alias("score"), (-F.col("doc_pos")).alias("back"), F.col("top").alias("matched"), "item_tokens")).alias("m")
     best = scored.groupBy("doc_id", "digest", "item_id").agg(best)
     return best.select("doc_id", "digest", "item_id", F.col("m.score").alias("score"), F.col("m.matched").alias("matched"), F.col("m.item_tokens").alias("item_tokens"), (-F.col("m.back")).alias("doc_pos"))

@@ -666,6 +666,16 @@ def test_decontaminate(spark, limit):
     assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_texts_are_split_once(spark):
+    """A filter on the tokens, or a branch of its own for short items, would split every text again."""
+    bench = spark.createDataFrame([(1, "one two three"), (2, " ".join(f"w{k}" for k in range(20))), (3, "One, two")], "item_id long, text string")
+    found = decontaminate.overlaps(docs(spark, [(1, "ONE two - three"), (2, "one two three four"), (3, None), (4, "one two"), (5, "one two\n"), (None, "one two three")]), bench)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    got = sorted((r.doc_id or 0, r.item_id, r.score, r.matched, r.item_tokens, r.doc_pos) for r in found.collect())
+    assert got == [(0, 1, 3, 3, 3, 0), (1, 1, 3, 3, 3, 0), (4, 3, 2, 2, 2, 0), (5, 3, 2, 2, 2, 0)]
+
+
 def test_seeds_find_substitutions_at_every_length(spark):
     """Recall over random substitutions that still reach the score, for items of 5 to 40 tokens."""
     rnd, items, rows = random.Random(26), [], []
