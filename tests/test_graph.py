@@ -113,6 +113,24 @@ def test_walk_cap_keeps_the_descending_first(spark, gc):
     assert some == sorted(sorted(every, key=key, reverse=True)[:20])
 
 
+def join_rows(plan):
+    """The most rows that a join of a plan that was run gave."""
+    inner = [getattr(plan, f)() for name, f in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan")) if name in plan.nodeName() or name in plan.getClass().getSimpleName()]
+    below = inner or [plan.children().apply(k) for k in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.nodeName() else 0
+    return max([own, *map(join_rows, below)])
+
+
+@pytest.mark.parametrize("removal", ["as_coded", "effective"])
+def test_listings_make_no_row_for_steps_that_lead_elsewhere(spark, removal):
+    """40 subjects with 100 neighbours each, one of which leads to the 10 objects."""
+    edges = [(s, 1000 + 100 * s + k, 0) for s in range(40) for k in range(100)] + [(s, 900, 1) for s in range(40)] + [(900, 100 + o, 2) for o in range(10)]
+    g = graph(spark, edges)
+    df = walks(g, facts(spark, [(s, 0, 100 + o) for s in range(40) for o in range(10)]), 2, removal=removal)
+    assert sorted((tuple(r.nodes), tuple(r.rels)) for r in df.collect()) == sorted(((s, 900, 100 + o), (-1, 1, 2)) for s in range(40) for o in range(10))
+    assert 400 <= join_rows(df._jdf.queryExecution().executedPlan()) <= 4040
+
+
 def test_path_probabilities(spark, gc):
     paths = spark.createDataFrame([([-1, 1, 0],), ([-1, 5, 3, 5],), ([-1, 1, 1],), ([-1, 2],), ([-1, 4, 2],)], "rels array<int>")
     c = facts(spark, [(0, 0, 3), (3, 0, 4), (0, 0, 0), (1, 0, 0)])
