@@ -13,7 +13,7 @@ from arcwise.operators.flow import edge_flows, stream
 from arcwise.operators.measures import katz, path_entropy, simrank
 from arcwise.operators.neighborhood import adamic_adar, degree_product, dense, jaccard
 from arcwise.operators.relations import cooccurrence, relational_similarity, top_similar
-from arcwise.operators.walks import path_features, path_totals, walk_counts, walks
+from arcwise.operators.walks import first_features, path_features, path_totals, walk_counts, walks
 from arcwise.plans.learn import path_probabilities
 from arcwise.plans.methods import normalize
 
@@ -133,21 +133,23 @@ def test_listings_make_no_row_for_steps_that_lead_elsewhere(spark, removal):
 
 @pytest.mark.parametrize("symmetric", [True, False])
 @pytest.mark.parametrize("whole", [True, False])
-def test_path_totals(spark, symmetric, whole, monkeypatch):
+def test_path_totals_and_first_features(spark, symmetric, whole, monkeypatch):
     rnd = random.Random(5)
     edges = sorted({(rnd.randrange(12), rnd.randrange(12), rnd.randrange(3)) for _ in range(60)})
     g = graph(spark, edges, symmetric)
     rows = [(s, p, o) for s in (0, 3, 4, 7, 99) for p in (1, 2) for o in (2, 3, 5)]
     c = facts(spark, rows if whole else [r for r in rows if r != (0, 1, 5)])
     features = path_features(g, c, None).collect()
-    want = {}
+    want, first = {}, {}
     for r in sorted(features, key=lambda r: (r.sid, r.pid, r.oid)):
         want[tuple(r.rels)] = want.get(tuple(r.rels), 0) + r.n
+        first.setdefault(tuple(r.rels), (r.sid, r.pid, r.oid))
     if whole:  # no row for a fact is made
         monkeypatch.setattr("arcwise.operators.walks.path_features", None)
     assert {tuple(r.rels): r.n for r in path_totals(g, c).collect()} == want
+    assert {tuple(r.rels): (r.sid, r.pid, r.oid) for r in first_features(g, c).collect()} == first
     monkeypatch.undo()
-    assert path_totals(g, c.limit(0)).count() == 0
+    assert path_totals(g, c.limit(0)).count() == first_features(g, c.limit(0)).count() == 0
 
 
 def test_path_probabilities(spark, gc):
