@@ -13,7 +13,7 @@ from arcwise.operators.flow import edge_flows, stream
 from arcwise.operators.measures import katz, path_entropy, simrank
 from arcwise.operators.neighborhood import adamic_adar, degree_product, dense, jaccard
 from arcwise.operators.relations import cooccurrence, relational_similarity, top_similar
-from arcwise.operators.walks import first_features, path_features, path_totals, walk_counts, walks
+from arcwise.operators.walks import first_features, path_features, path_totals, summed_products, walk_counts, walks
 from arcwise.plans.learn import path_probabilities
 from arcwise.plans.methods import normalize
 
@@ -131,6 +131,28 @@ def test_listings_make_no_row_for_steps_that_lead_elsewhere(spark, removal):
     assert 400 <= join_rows(df._jdf.queryExecution().executedPlan()) <= 4040
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+@pytest.mark.parametrize("whole", [True, False])
+def test_dense_path_features(spark, symmetric, whole, monkeypatch):
+    rnd = random.Random(6)
+    g = graph(spark, sorted({(rnd.randrange(12), rnd.randrange(12), rnd.randrange(3)) for _ in range(60)}), symmetric)
+    rows = [(s, p, o) for s in (0, 3, 4, 7, 99) for p in (1, 2) for o in (2, 3, 5)]
+    c = facts(spark, rows if whole else [r for r in rows if r != (0, 1, 5)])
+    want = {}
+    for n in (2, 3):
+        for r in walks(g, c, n).collect():
+            want[r.sid, r.pid, r.oid, tuple(r.rels)] = want.get((r.sid, r.pid, r.oid, tuple(r.rels)), 0) + 1
+    monkeypatch.setattr("arcwise.operators.walks._stepped", None)  # which has a row for each step of each fact
+    assert {(r.sid, r.pid, r.oid, tuple(r.rels)): r.n for r in path_features(g, c, None).collect()} == want
+
+
+def test_summed_products_of_large_numbers(spark):
+    steps = spark.createDataFrame([(1, 0, 5, 10**9), (1, 0, 6, 3), (2, 1, 5, 1)], "sid long, r int, a long, m long")
+    ends = spark.createDataFrame([(5, 0, 7, 10**8 + 1), (6, 0, 7, 32768), (5, 0, 8, 32767), (5, 4, 7, 1)], "a long, k int, oid long, t long")
+    got = {tuple(r) for r in summed_products(steps, ends, ends.select("oid"), 3).select("sid", "r", "k", "oid", "n").collect()}
+    assert got == {(1, 0, 0, 7, 10**17 + 10**9 + 98304), (1, 0, 0, 8, 32767 * 10**9), (1, 0, 4, 7, 10**9), (2, 1, 0, 7, 10**8 + 1), (2, 1, 0, 8, 32767), (2, 1, 4, 7, 1)}
+
+
 @pytest.mark.parametrize("symmetric", [True, False])
 @pytest.mark.parametrize("whole", [True, False])
 def test_path_totals_and_first_features(spark, symmetric, whole, monkeypatch):
