@@ -146,6 +146,28 @@ def test_dense_path_features(spark, symmetric, whole, monkeypatch):
     assert {(r.sid, r.pid, r.oid, tuple(r.rels)): r.n for r in path_features(g, c, None).collect()} == want
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+@pytest.mark.parametrize("block, first, cap", [(32, 16, 20), (2, 3, 7), (2, 1, 40)])
+def test_dense_capped_features(spark, symmetric, block, first, cap, monkeypatch):
+    rnd = random.Random(7)
+    g = graph(spark, sorted({(rnd.randrange(12), rnd.randrange(12), rnd.randrange(3)) for _ in range(80)}), symmetric)
+    rows = [(s, p, o) for s in (0, 3, 4, 7, 99) for p in (1, 2) for o in (2, 3, 5)]
+    c = facts(spark, rows if block == 2 else [r for r in rows if r != (0, 1, 5)])
+    want = {}
+    for n in (2, 3):
+        for r in walks(g, c, n, cap).collect():
+            want[r.sid, r.pid, r.oid, tuple(r.rels)] = want.get((r.sid, r.pid, r.oid, tuple(r.rels)), 0) + 1
+    monkeypatch.setattr("arcwise.operators.walks._stepped", None)  # which has a row for each step of each fact
+    monkeypatch.setattr("arcwise.operators.walks._BLOCK", block)
+    monkeypatch.setattr("arcwise.operators.walks._FIRST", first)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [((r.sid, r.pid, r.oid, tuple(r.rels)), r.n) for r in path_features(g, c, cap).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_summed_products_of_large_numbers(spark):
     steps = spark.createDataFrame([(1, 0, 5, 10**9), (1, 0, 6, 3), (2, 1, 5, 1)], "sid long, r int, a long, m long")
     ends = spark.createDataFrame([(5, 0, 7, 10**8 + 1), (6, 0, 7, 32768), (5, 0, 8, 32767), (5, 4, 7, 1)], "a long, k int, oid long, t long")
