@@ -14,7 +14,7 @@ from arcwise.operators.measures import katz, path_entropy, simrank
 from arcwise.operators.neighborhood import adamic_adar, degree_product, dense, jaccard
 from arcwise.operators.relations import cooccurrence, relational_similarity, top_similar
 from arcwise.operators.walks import first_features, path_features, path_totals, summed_products, walk_counts, walks
-from arcwise.plans.learn import path_probabilities
+from arcwise.plans.learn import mutual_information, path_probabilities
 from arcwise.plans.methods import normalize
 
 # The toy graphs of the survey's fixtures, rows (s, o, p[, value]), and below the results that go with them.
@@ -168,6 +168,28 @@ def test_dense_capped_features(spark, symmetric, block, first, cap, monkeypatch)
     assert len(got) == len(want) and dict(got) == want
 
 
+def test_mutual_information_of_dense_facts(spark, monkeypatch):
+    rnd = random.Random(8)
+    g = graph(spark, sorted({(rnd.randrange(12), rnd.randrange(12), rnd.randrange(3)) for _ in range(80)}))
+    c = facts(spark, [(s, 1, o) for s in (0, 3, 4, 7, 99) for o in (2, 3, 5)])
+    labels = c.withColumn("class", ((F.col("sid") + F.col("oid")) % 2).cast("int"))
+    counts = {}
+    for n in (2, 3):
+        for r in walks(g, c, n, 9).collect():
+            one = counts.setdefault(tuple(r.rels), {})
+            one[r.sid, r.oid] = one.get((r.sid, r.oid), 0) + 1
+    rows = [(r.sid, r.oid, r["class"]) for r in labels.collect()]
+    want = {}
+    for rels, one in counts.items():
+        cells, x, y = {}, {}, {}
+        for s, o, k in rows:
+            n = one.get((s, o), 0)
+            cells[n, k], x[n], y[k] = cells.get((n, k), 0) + 1, x.get(n, 0) + 1, y.get(k, 0) + 1
+        want[rels] = sum(v / len(rows) * math.log(v * len(rows) / (x[n] * y[k])) for (n, k), v in cells.items())
+    monkeypatch.setattr("arcwise.operators.walks._stepped", None)  # which has a row for each step of each fact
+    assert {tuple(r.rels): r.mi for r in mutual_information(path_features(g, c, 9), labels).collect()} == pytest.approx(want, abs=1e-9)
+
+
 def test_summed_products_of_large_numbers(spark):
     steps = spark.createDataFrame([(1, 0, 5, 10**9), (1, 0, 6, 3), (2, 1, 5, 1)], "sid long, r int, a long, m long")
     ends = spark.createDataFrame([(5, 0, 7, 10**8 + 1), (6, 0, 7, 32768), (5, 0, 8, 32767), (5, 4, 7, 1)], "a long, k int, oid long, t long")
