@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from arcwise.operators.relations import cooccurrence
 from arcwise.plans import cli, queries
-from arcwise.plans.learn import PathModel, mutual_information, predict, train_predpath
+from arcwise.operators.walks import path_features
+from arcwise.plans.learn import PathModel, _vectors, first_sightings, mutual_information, predict, train_predpath
 from arcwise.plans.methods import score
 from arcwise.sources.readers import read_candidates, read_dictionary, read_graph, read_matrix, read_triples
 from arcwise.sources.writers import write_dictionary, write_graph, write_matrix, write_scores
+from arcwise.storage import stored
 from arcwise.streaming.candidates import score_stream
 from tests.test_graph import C, facts, graph
 
@@ -25,6 +27,18 @@ def test_mutual_information_of_a_perfect_feature(spark):
     assert got[-1, 1] == pytest.approx(0.693147, abs=1e-6) and got[-1, 2] == pytest.approx(0.0, abs=1e-9)
 
 
+def test_no_row_of_each_fact_goes_through_the_driver(spark):
+    """Stored features are a few MB for millions of rows; by their size Spark would broadcast them."""
+    g, c = graph(spark, C), facts(spark, [(0, 0, 3), (3, 0, 4), (1, 0, 6), (6, 0, 7)])
+    features = stored(path_features(g, c, 5), "features")
+    labels = stored(c.withColumn("class", (F.col("sid") % 2).cast("int")), "labels")
+    values = features.select("sid", "pid", "oid", "rels", F.col("n").cast("double").alias("value"))
+    model = train_predpath(g, labels, top=3, folds=2)
+    for df in (mutual_information(features, labels), first_sightings(features, labels), _vectors(labels, values, [[-1, 1, 1]]), predict(model, g, labels)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [sid" in plan and not re.search(r"BroadcastHashJoin \[sid#\d+L?, pid", plan)
+
+
 def test_model_round_trip(spark, tmp_path):
     g = graph(spark, C)
     rows = [(s, 0, o, int((s + o) % 2)) for s in range(8) for o in range(8) if s != o]
