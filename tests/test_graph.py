@@ -218,6 +218,42 @@ def test_path_totals_and_first_features(spark, symmetric, whole, monkeypatch):
     assert path_totals(g, c.limit(0)).count() == first_features(g, c.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+@pytest.mark.parametrize("block, group", [(32, 2_000_000), (2, 3)])
+def test_path_probabilities_of_dense_facts(spark, symmetric, block, group, monkeypatch):
+    rnd = random.Random(9)
+    edges = sorted({(rnd.randrange(12), rnd.randrange(12), rnd.randrange(3)) for _ in range(80)})
+    out = {}
+    for s, o, p in {*edges, *((o, s, p) for s, o, p in edges if symmetric)}:
+        out.setdefault((s, p), []).append(o)
+    rows = [(s, p, o) for s in (0, 3, 4, 7, 99) for p in (1, 2) for o in (2, 3, 5)]
+    rows = rows if block == 2 else [r for r in rows if r != (0, 1, 5)]
+    every, want = [(0,), (1, 2), (2, 2), (0, 1, 2), (2, 0, 1), (1, 2, 2)], {}
+    for path in every:
+        for s, p, o in rows:
+            now = {s: 1.0}
+            for r in path:
+                then = {}
+                for n, pr in now.items():
+                    for x in out.get((n, r), []):
+                        then[x] = then.get(x, 0) + pr / len(out[n, r])
+                now = then
+            if o in now:
+                want[s, p, o, (-1, *path)] = now[o]
+    monkeypatch.setattr("arcwise.operators.walks._BLOCK", block)
+    monkeypatch.setattr("arcwise.operators.walks._GROUP", group)
+    paths = spark.createDataFrame([([-1, *p],) for p in every], "rels array<int>")
+    g, made = graph(spark, edges, symmetric), []
+    for by_group in (True, False):
+        if not by_group:  # a row for each step of each fact
+            monkeypatch.setattr("arcwise.plans.learn.dense", lambda _: False)
+        df = path_probabilities(g, facts(spark, rows), paths)
+        got = [((r.sid, r.pid, r.oid, tuple(r.rels)), r.value) for r in df.collect()]
+        assert len(got) == len(want) and dict(got) == pytest.approx(want)
+        made.append(join_rows(df._jdf.queryExecution().executedPlan()))
+    assert made[0] <= 2 * len(want) < made[1]
+
+
 def test_path_probabilities(spark, gc):
     paths = spark.createDataFrame([([-1, 1, 0],), ([-1, 5, 3, 5],), ([-1, 1, 1],), ([-1, 2],), ([-1, 4, 2],)], "rels array<int>")
     c = facts(spark, [(0, 0, 3), (3, 0, 4), (0, 0, 0), (1, 0, 0)])
