@@ -13,18 +13,32 @@ Nulls and repeated candidates: as for the neighbourhood measures. An unknown nod
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import degree_weight
 from ..graph import KnowledgeGraph
 from ..storage import stored
-from .neighborhood import KEYS, own_edges, with_ids
-from .search import Search
+from .neighborhood import KEYS, _into, own_edges, with_ids
+from .search import NODE, Search
+from .wide import groups_of, least_costs
 
 _UNIT, _HOP, _MOST = 1_000_000_000, 256, 1.8e7
 
 
+def _units(widest: bool) -> Callable:
+    """The costs of weights, as closure has them."""
+
+    def units(w: np.ndarray) -> np.ndarray:
+        whole = np.floor(np.maximum(0.0, 1.0 / w - 1.0) * _UNIT + 0.5).astype(np.int64)
+        return whole if widest else whole * _HOP + 1
+
+    return units
+
+
 def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | None = None, kind: str = "metric", weight: str = "logdegree", free_last_hop: bool | None = None, removal: str = "effective", paths: bool = True) -> DataFrame:
     """candidates with score and, with `paths`, path, rpath (leading -1), weights (of the edges, from the subject on).
 
@@ -49,8 +63,10 @@ def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | No
         return units if widest else units * _HOP + 1
 
     spec = degree_weight(F.col("d"), weight)
-    arcs = graph.edges.join(graph.degrees(), F.col("o") == F.col("node")).select("s", "p", "o", spec.alias("spec"))
-    arcs = stored(arcs.withColumn("low", cost(F.col("spec") * top)), "arcs")
+
+    def arcs_of(edges: DataFrame) -> DataFrame:
+        rows = edges.join(graph.degrees(), F.col("o") == F.col("node")).select("s", "p", "o", spec.alias("spec"))
+        return stored(rows.withColumn("low", cost(F.col("spec") * top)), "arcs")
 
     def priced(rows: DataFrame, with_spec: bool) -> DataFrame:
         if sims is not None:
@@ -59,16 +75,31 @@ def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | No
         rows = rows.withColumn("w", w * F.col("sim") if sims is not None else w)
         return rows.where(F.col("w") > 1.0 / _MOST).withColumn("c", cost(F.col("w")))
 
-    search = Search(arcs, apart, own, lambda rows: priced(rows, True), lambda rows: priced(rows, not free), widest)
-    labels = search.costs()
-    seconds = None if own.isEmpty() else search.second_costs(labels)
-    best = stored(search.best(labels, seconds), "best")
-    found = best
-    if paths:
-        traced = search.widest_paths(best) if widest else search.paths(best, labels, seconds)
-        if traced is None:  # no fact has a path
-            traced = best.limit(0).select(*KEYS, F.array("sid").alias("path"), F.array("pid").alias("rpath"), F.array().cast("array<double>").alias("weights"))
-        found = best.join(traced, KEYS, "left")
+    def search_of(arcs: DataFrame) -> Search:
+        return Search(arcs, apart, own, lambda rows: priced(rows, True), lambda rows: priced(rows, not free), widest)
+
+    groups = None if paths else groups_of(apart)
+    if groups is not None:
+        near = arcs_of(_into(graph, apart).withColumnRenamed("oid", "o"))
+        starts = search_of(near).last_arcs().groupBy(*NODE, "tag").agg(F.min("d").alias("d"))
+        specs = graph.out_degrees().select("node").join(graph.degrees(), "node", "left").select("node", spec.alias("spec"))
+        prices = None
+        if sims is not None:
+            prices = {}
+            for r in sims.collect():  # relations by relations
+                prices.setdefault(r.pid, {})[r.p] = r.sim
+        found = least_costs(graph, specs, apart, starts, groups, prices, _units(widest), _MOST, widest, not own.isEmpty())
+    else:
+        search = search_of(arcs_of(graph.edges))
+        labels = search.costs()
+        seconds = None if own.isEmpty() else search.second_costs(labels)
+        best = stored(search.best(labels, seconds), "best")
+        found = best
+        if paths:
+            traced = search.widest_paths(best) if widest else search.paths(best, labels, seconds)
+            if traced is None:  # no fact has a path
+                traced = best.limit(0).select(*KEYS, F.array("sid").alias("path"), F.array("pid").alias("rpath"), F.array().cast("array<double>").alias("weights"))
+            found = best.join(traced, KEYS, "left")
     found = facts.join(found, KEYS, "left")
     units = F.col("best") if widest else F.floor(F.col("best") / _HOP)
     same = F.col("sid") == F.col("oid")
