@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from arcwise.graph import KnowledgeGraph
 from arcwise.operators.closure import closure
 from arcwise.operators.dictionary import dense_ids, encode_triples
 from arcwise.operators.flow import edge_flows, stream
+from arcwise.operators import meeting, wide
 from arcwise.operators.measures import katz, path_entropy, simrank
 from arcwise.operators.neighborhood import adamic_adar, degree_product, dense, jaccard
 from arcwise.operators.relations import cooccurrence, relational_similarity, top_similar
@@ -411,6 +413,31 @@ def test_odd_candidates(spark, measure):
     assert all(r.score in (0, None) or r.sid == r.oid for r in measure(graph(spark, []), c, **options).collect())
 
 
+@pytest.mark.parametrize(("symmetric", "block", "edges"), [(True, 32, 12), (False, 2, 12), (True, 2, 1000)])
+def test_simrank_over_parts_and_blocks(spark, symmetric, block, edges, monkeypatch):
+    """Against matrices; the steps' values are files of NumPy columns, of which few lie on disk at a time."""
+    monkeypatch.setattr(wide, "_EDGES", edges)
+    monkeypatch.setattr(meeting, "_EDGES", 3)
+    monkeypatch.setattr(meeting, "_ROWS", 2)
+    live, most, kept, dropped = set(), [], meeting.kept, meeting.dropped
+    monkeypatch.setattr(meeting, "kept", lambda df, path, *by: (live.add(path), most.append(len([x for x in live if "values-" in x])), kept(df, path, *by)))
+    monkeypatch.setattr(meeting, "dropped", lambda s, path: (live.discard(path), dropped(s, path)))
+    g, c, steps = graph(spark, [*C, (8, 0, 0), (7, 9, 1)], symmetric), 0.8, 21
+    step = np.zeros((10, 10))
+    for r in g.edges.collect():
+        step[r.s, r.o] = 1.0
+    step /= np.maximum(1.0, step.sum(axis=1, keepdims=True))
+    walk, want = np.eye(10), np.zeros((10, 10))
+    for t in range(steps):
+        want += c**t * (1 - c) * walk @ walk.T
+        walk = walk @ step
+    rows = simrank(g, facts(spark, [(s, 0, o) for s in [*range(10), 77] for o in (0, 3, 7, 8, 9)]), c, steps, block).collect()
+    assert len(rows) == 55
+    for r in rows:
+        assert r.score == pytest.approx(want[r.sid, r.oid] if r.sid < 10 else 0.0, abs=1e-12)
+    assert max(most) <= 9 and not live
+
+
 @pytest.mark.parametrize("fact", [(0, 1, 3), (0, 5, 3), (3, 0, 5), (5, 1, 2), (0, 4, 1), (0, 0, 0)])
 def test_walks_without_the_own_edge(spark, gc, fact):
     loops = graph(spark, [*C, (0, 0, 0), (0, 0, 1)])
