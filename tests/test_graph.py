@@ -438,6 +438,15 @@ def test_simrank_over_parts_and_blocks(spark, symmetric, block, edges, monkeypat
     assert max(most) <= 9 and not live
 
 
+@pytest.mark.parametrize("kind", ["metric", "ultrametric"])
+def test_dense_closures_over_parts(spark, gc, kind, monkeypatch):
+    """Costs alone come from NumPy columns, costs with paths from the search by rows."""
+    monkeypatch.setattr(wide, "_EDGES", 40)
+    asked = facts(spark, [(s, 0, o) for s in [*range(8), 77] for o in (3, 7)])
+    some, every = (closure(gc, asked, kind=kind, paths=paths) for paths in (False, True))
+    assert {(r.sid, r.oid): r.score for r in some.collect()} == {(r.sid, r.oid): r.score for r in every.collect()}
+
+
 @pytest.mark.parametrize("fact", [(0, 1, 3), (0, 5, 3), (3, 0, 5), (5, 1, 2), (0, 4, 1), (0, 0, 0)])
 def test_walks_without_the_own_edge(spark, gc, fact):
     loops = graph(spark, [*C, (0, 0, 0), (0, 0, 1)])
