@@ -78,17 +78,19 @@ def closure(graph: KnowledgeGraph, candidates: DataFrame, relsim: DataFrame | No
     def search_of(arcs: DataFrame) -> Search:
         return Search(arcs, apart, own, lambda rows: priced(rows, True), lambda rows: priced(rows, not free), widest)
 
-    groups = None if paths else groups_of(apart)
+    groups = None if paths and widest else groups_of(apart)
     if groups is not None:
         near = arcs_of(_into(graph, apart).withColumnRenamed("oid", "o"))
-        starts = search_of(near).last_arcs().groupBy(*NODE, "tag").agg(F.min("d").alias("d"))
+        starts = search_of(near).last_arcs(paths)
+        if not paths:
+            starts = starts.groupBy(*NODE, "tag").agg(F.min("d").alias("d"))
         specs = graph.out_degrees().select("node").join(graph.degrees(), "node", "left").select("node", spec.alias("spec"))
         prices = None
         if sims is not None:
             prices = {}
             for r in sims.collect():  # relations by relations
                 prices.setdefault(r.pid, {})[r.p] = r.sim
-        found = least_costs(graph, specs, apart, starts, groups, prices, _units(widest), _MOST, widest, not own.isEmpty())
+        found = least_costs(graph, specs, apart, starts, groups, prices, _units(widest), _MOST, widest, paths or not own.isEmpty(), paths)
     else:
         search = search_of(arcs_of(graph.edges))
         labels = search.costs()

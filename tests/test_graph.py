@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arcwise.graph import KnowledgeGraph
 from arcwise.operators.closure import closure
+from arcwise.operators import closure as closures
 from arcwise.operators.dictionary import dense_ids, encode_triples
 from arcwise.operators.flow import edge_flows, stream
 from arcwise.operators import meeting, wide
@@ -447,6 +448,27 @@ def test_dense_closures_over_parts(spark, gc, kind, monkeypatch):
     assert {(r.sid, r.oid): r.score for r in some.collect()} == {(r.sid, r.oid): r.score for r in every.collect()}
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_closure_paths_by_columns(spark, symmetric, monkeypatch):
+    """Paths of dense facts are followed in columns, with the rows that the search by rows has, ties and own edges too."""
+    monkeypatch.setattr(wide, "_EDGES", 40)
+    monkeypatch.setattr(wide, "_FACTS", 3)
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(12), rng.randrange(12), rng.randrange(3)) for _ in range(60)})
+    g = graph(spark, rows, symmetric)
+    asked = facts(spark, [(s, p, o) for s in range(13) for p in (0, 2) for o in range(8)])
+    sims = spark.createDataFrame([(a, b, 1.0 if a == b else 0.5) for a in (0, 2) for b in range(3) if (a, b) != (2, 1)], "r1 int, r2 int, sim double")
+    columns = ["sid", "pid", "oid", "score", "path", "rpath", "weights"]
+    calls = []
+    monkeypatch.setattr(closures, "least_costs", lambda *a: calls.append(1) or wide.least_costs(*a))
+    for options in ({"weight": "degree"}, {"relsim": sims, "free_last_hop": False})[: 1 + symmetric]:
+        dense_rows = sorted(map(tuple, closure(g, asked, **options).select(columns).collect()))
+        assert calls.pop() and not calls
+        with monkeypatch.context() as m:
+            m.setattr(closures, "groups_of", lambda f: None)
+            assert dense_rows == sorted(map(tuple, closure(g, asked, **options).select(columns).collect()))
+
+
 @pytest.mark.parametrize("fact", [(0, 1, 3), (0, 5, 3), (3, 0, 5), (5, 1, 2), (0, 4, 1), (0, 0, 0)])
 def test_walks_without_the_own_edge(spark, gc, fact):
     loops = graph(spark, [*C, (0, 0, 0), (0, 0, 1)])
