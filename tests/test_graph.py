@@ -448,6 +448,19 @@ def test_dense_closures_over_parts(spark, gc, kind, monkeypatch):
     assert {(r.sid, r.oid): r.score for r in some.collect()} == {(r.sid, r.oid): r.score for r in every.collect()}
 
 
+def test_merged_labels_mark_what_changed():
+    """Later rounds read marked labels only: those of which the first or the second got better."""
+    far, none = wide.FAR, wide._NONE
+    state = [np.array([5, 5, 5, far]), np.array([1, 1, 1, none]), np.array([9, 9, 9, far]), np.array([2, 2, 2, none])]
+    fresh = np.zeros(4, bool)
+    wide.merged(state, np.array([0, 1, 2, 3]), np.array([5, 7, 4, 8]), np.array([1, 3, 1, 3]), fresh)
+    assert fresh.tolist() == [False, True, True, True]
+    assert [x.tolist() for x in state] == [[5, 5, 4, 8], [1, 1, 1, 3], [9, 7, 9, far], [2, 3, 2, none]]
+    one, fresh = [np.array([5, 5])], np.zeros(2, bool)
+    wide.merged(one, np.array([0, 1]), np.array([4, 6]), None, fresh)
+    assert one[0].tolist() == [4, 5] and fresh.tolist() == [True, False]
+
+
 @pytest.mark.parametrize("symmetric", [True, False])
 def test_closure_paths_by_columns(spark, symmetric, monkeypatch):
     """Paths of dense facts are followed in columns, with the rows that the search by rows has, ties and own edges too."""
